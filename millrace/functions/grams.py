@@ -22,7 +22,7 @@ def distinct_grams(chars: Column, n: int) -> Column:
     grams = chars
     for k in range(1, n):
         shifted = F.slice(chars, F.lit(k + 1), F.size(chars))
-        grams = F.zip_with(grams, shifted, F.concat)
+        grams = F.zip_with(grams, shifted, lambda g, c: F.concat(g, c))
     long = F.filter(grams, lambda g: g.isNotNull())  # the shift leaves nulls at the end
     short = F.filter(F.array(F.array_join(chars, "")), lambda g: g != "")
     return F.array_distinct(F.when(F.size(chars) >= n, long).otherwise(short))

@@ -11,10 +11,10 @@ from .registry import query
 
 
 @query("concurrency_profile", """
-WITH points AS (SELECT rg_name, ts_start AS at, 1 AS d FROM grouped_audit
+WITH points AS (SELECT rg_name, ts_start AS tick, 1 AS d FROM grouped_audit
   UNION ALL SELECT rg_name, ts_start + to_milliseconds(query_time_ms), -1 FROM grouped_audit),
-running AS (SELECT rg_name, at, d, sum(d) OVER (PARTITION BY rg_name ORDER BY at, d ROWS UNBOUNDED PRECEDING) AS n FROM points),
-peaks AS (SELECT rg_name, CAST(at AS DATE) AS day, CAST(max(greatest(n, n - d)) AS BIGINT) AS peak FROM running GROUP BY 1, 2)
+running AS (SELECT rg_name, tick, d, sum(d) OVER (PARTITION BY rg_name ORDER BY tick, d ROWS UNBOUNDED PRECEDING) AS n FROM points),
+peaks AS (SELECT rg_name, CAST(tick AS DATE) AS day, CAST(max(greatest(n, n - d)) AS BIGINT) AS peak FROM running GROUP BY 1, 2)
 SELECT p.rg_name, p.day, p.peak, nullif(g.concurrency_limit, 0) AS concurrency_limit, coalesce(p.peak > nullif(g.concurrency_limit, 0), FALSE) AS over_limit
 FROM peaks p LEFT JOIN resource_groups g ON g.rg_name = p.rg_name
 """)

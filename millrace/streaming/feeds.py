@@ -18,7 +18,8 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = No
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    stream = reader.parquet(path)
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    stream = reader.parquet(f"{folder}/{{{name}}}")  # as a pattern: a plain path must be a folder
     times = [f.name for f in schema.fields if f.dataType.typeName() == "timestamp_ntz"]
     return stream.withColumns({c: F.col(c).cast("timestamp") for c in times}) if times else stream
 
