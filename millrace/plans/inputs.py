@@ -281,6 +281,11 @@ class Inputs:
             return self.sql(DERIVED[name])
         return self.spark.read.parquet(self.path(name))
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A given table for CPU-heavy work: over all cores where its scan has fewer splits."""
+        df, cores = self[name], self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
     def sql(self, text: str) -> DataFrame:
         for name in _mentions(text, BASE):
             self[name].createOrReplaceTempView(name)

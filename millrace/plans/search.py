@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 from ..operators import search, vectors
+from ..session import workdir
 from .filters import KEYWORD
 from .registry import query
 
+BUCKETS = 16
 TERMS = ["the", "and", "that"]
 
 
 @query("ngram_index", "SELECT gram, count(*) AS n_docs FROM grams GROUP BY 1")
 def ngram_index(t):
-    return search.ngram_index(t["documents"], "doc_id", "text", 4)
+    return search.ngram_index(t.spread("documents", "doc_id"), "doc_id", "text", 4)
 
 
 @query("ngram_candidates", f"SELECT doc_id, lang FROM documents WHERE lower(text) LIKE '%{KEYWORD}%'")
 def ngram_candidates(t):
-    return search.ngram_filter(t["documents"], "doc_id", "text", KEYWORD, 4).select("doc_id", "lang")
+    """Builds the index as a table, then looks one keyword up in it."""
+    path = workdir(t.spark, "ngrams")
+    search.write_ngram_index(t.spread("documents", "doc_id"), "doc_id", "text", 4, path, BUCKETS)
+    index = t.spark.read.parquet(path)
+    return search.ngram_filter(t["documents"], index, "doc_id", "text", KEYWORD, 4, BUCKETS).select("doc_id", "lang")
 
 
 @query("ngram_similarity", """
@@ -28,17 +34,17 @@ hits AS (SELECT item_id, doc_id, count(*) AS h FROM wanted JOIN grams USING (gra
 SELECT item_id, doc_id, h / g AS score FROM hits JOIN sizes USING (item_id) WHERE h / g >= 0.6
 """)
 def ngram_similarity(t):
-    return search.ngram_similarity(t["documents"], "doc_id", "text", t["benchmark"], "item_id", "text", 4, 0.6)
+    return search.ngram_similarity(t.spread("documents", "doc_id"), "doc_id", "text", t["benchmark"], "item_id", "text", 4, 0.6)
 
 
 @query("inverted_index", "SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n_total FROM terms GROUP BY 1")
 def inverted_index(t):
-    return search.inverted_index(t["documents"], "doc_id", "text")
+    return search.inverted_index(t.spread("documents", "doc_id"), "doc_id", "text")
 
 
 @query("inverted_postings", "SELECT term, doc_id, count(*) AS tf FROM terms GROUP BY 1, 2")
 def inverted_postings(t):
-    return search.inverted_postings(t["documents"], "doc_id", "text")
+    return search.inverted_postings(t.spread("documents", "doc_id"), "doc_id", "text")
 
 
 MATCH = "SELECT doc_id, count(DISTINCT term) AS n FROM terms WHERE term IN ('the', 'and', 'that') GROUP BY 1"
@@ -46,12 +52,12 @@ MATCH = "SELECT doc_id, count(DISTINCT term) AS n FROM terms WHERE term IN ('the
 
 @query("fulltext_match_all", f"SELECT doc_id, CAST(n AS INTEGER) AS n_terms FROM ({MATCH}) AS m WHERE n = 3")
 def fulltext_match_all(t):
-    return search.fulltext_match(t["documents"], "text", TERMS, "all").select("doc_id", "n_terms")
+    return search.fulltext_match(t.spread("documents", "doc_id"), "text", TERMS, "all").select("doc_id", "n_terms")
 
 
 @query("fulltext_match", f"SELECT doc_id, CAST(n AS INTEGER) AS n_terms FROM ({MATCH}) AS m")
 def fulltext_match(t):
-    return search.fulltext_match(t["documents"], "text", TERMS, "any").select("doc_id", "n_terms")
+    return search.fulltext_match(t.spread("documents", "doc_id"), "text", TERMS, "any").select("doc_id", "n_terms")
 
 
 @query("vector_topk", """

@@ -89,13 +89,14 @@ def stream_late_rows(t):
 
 @query("stream_job_monitor", """
 SELECT job_id, CASE state WHEN 'FINISHED' THEN 'finished' WHEN 'CANCELLED' THEN 'cancelled' ELSE 'timed_out' END AS outcome,
-  epoch_ms(ts) + CASE WHEN state IN ('FINISHED', 'CANCELLED') THEN 0 ELSE greatest(300 - elapsed_s, 0) * 1000 END AS decided_ms FROM alter_jobs
+  ts + to_seconds(CASE WHEN state IN ('FINISHED', 'CANCELLED') THEN 0 ELSE greatest(300 - elapsed_s, 0) END) AS decided_at FROM alter_jobs
 """)
 def stream_job_monitor(t):
     jobs = derived_stream(t, "alter_jobs", "orders")
-    return st.run_closed(
+    closed = st.run_closed(
         t.spark, jobs, workdir(t.spark, "stream-jobs"), "ts", lambda s: st.monitor_jobs(s, "ts", "1 hour", 0)
     )
+    return plain_times(closed, "decided_at")
 
 
 @query("stream_aggregate_key", EVENT_DAYS)

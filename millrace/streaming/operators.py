@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.keymodels import aggregate_key, fold_changes, merge_aggregates
 from ..operators.workload import JOB_OUTCOMES
@@ -102,48 +98,30 @@ def split_late(stream: DataFrame, work: str, at: str, delay: str) -> None:
     drain_batches(stream, apply, f"{work}/checkpoint")
 
 
-class JobMonitor(StatefulProcessor):
-    """Emits a job's outcome at its terminal report, or when its time limit passes.
+def monitor_jobs(stream: DataFrame, at: str, delay: str, limit_s: int) -> DataFrame:
+    """(job_id, outcome, decided_at): a terminal report at once, else a time-out at its limit.
 
-    State per job is the end of its time limit; an event-time timer fires there.
+    Each report opens a span from its time to the end of the job's limit; the spans of
+    a job merge, and state ends with the span. A span that closes without a terminal
+    report has timed out.
     """
-
-    def __init__(self, limit_s: int):
-        self.limit_ms = (limit_s if limit_s > 0 else 300) * 1000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.done = handle.getValueState("done", "done boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            for state, elapsed, ts in zip(batch["state"], batch["elapsed_s"], batch["ts"]):
-                if self.done.exists() or pd.isna(state):
-                    continue
-                reported = int(ts.timestamp() * 1000)
-                outcome = JOB_OUTCOMES.get(state.upper())
-                left = self.limit_ms - int(elapsed) * 1000
-                if outcome is None and left > 0:
-                    self.handle.registerTimer(reported + left)
-                    continue
-                self.done.update((True,))
-                yield pd.DataFrame({"job_id": [key[0]], "outcome": [outcome or "timed_out"], "decided_ms": [reported]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.done.exists():
-            self.done.update((True,))
-            at = expiredTimerInfo.getExpiryTimeInMs()
-            yield pd.DataFrame({"job_id": [key[0]], "outcome": ["timed_out"], "decided_ms": [at]})
-
-    def close(self) -> None:
-        pass
-
-
-def monitor_jobs(stream: DataFrame, at: str, delay: str, limit_s: int) -> DataFrame:
-    rows = stream.select("job_id", "state", "elapsed_s", F.col(at).alias("ts")).withWatermark("ts", delay)
-    return rows.groupBy("job_id").transformWithStateInPandas(
-        JobMonitor(limit_s), "job_id bigint, outcome string, decided_ms bigint", "append", "eventTime"
+    limit = limit_s if limit_s > 0 else 300
+    terminal = F.upper("state").isin(list(JOB_OUTCOMES))
+    left = F.greatest(F.lit(limit) - F.col("elapsed_s"), F.lit(0))
+    reports = stream.withWatermark(at, delay).withColumns({
+        "terminal": terminal,
+        "deadline": F.timestamp_micros(F.unix_micros(at) + left * 1_000_000),
+    })
+    # Naming the event time keeps this filter above the watermark, which all rows move.
+    ended = reports.filter(F.when(F.col(at).isNotNull(), F.col("terminal"))).dropDuplicatesWithinWatermark(["job_id"])
+    ended = ended.select("job_id", F.lower("state").alias("outcome"), F.col(at).alias("decided_at"))
+    # A span must have some length, also for the report that ends it.
+    gap = F.when(F.col("terminal") | (left == 0), "1 millisecond").otherwise(F.concat(left.cast("string"), F.lit(" seconds")))
+    spans = reports.groupBy("job_id", F.session_window(at, gap)).agg(
+        F.bool_or("terminal").alias("ended"), F.min("deadline").alias("decided_at")
     )
+    timed_out = spans.filter("NOT ended").select("job_id", F.lit("timed_out").alias("outcome"), "decided_at")
+    return ended.unionByName(timed_out)
 
 
 __all__ = [
