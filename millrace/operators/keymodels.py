@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ddl import aggregate_kind, normalise_type
+from ..session import cut_lineage
 
 MERGE = {"SUM": F.sum, "MIN": F.min, "MAX": F.max}
 
@@ -65,6 +66,7 @@ def upsert(base: DataFrame, changes: DataFrame, keys: list[str], op: str = "op")
     Both joins have the batch on the side Spark may broadcast, so a small batch
     costs no shuffle of the base. A delete of an absent key changes nothing.
     """
+    changes = cut_lineage(changes)  # read three times below
     carried = [c for c in changes.columns if c not in keys and c != op]
     renamed = changes.select(*keys, op, *(F.col(c).alias(f"new_{c}") for c in carried))
     kept = base.join(renamed, keys, "left").filter(~F.col(op).eqNullSafe("D"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import digest, quota_bytes
+from ..session import cut_lineage
 from .ordered import interval_profile
 
 # query-log column → classifier column
@@ -103,7 +104,7 @@ def overlap_counts(log: DataFrame, keys: list[str]) -> DataFrame:
     nothing.
     """
     timed = with_end(log).filter("ts_end > ts_start")
-    profile = interval_profile(timed, keys, "ts_start", "ts_end")
+    profile = cut_lineage(interval_profile(timed, keys, "ts_start", "ts_end"))  # joined twice
     at_start = profile.select(*keys, F.col("instant").alias("ts_start"), F.col("run_ended").alias("ended"))
     at_end = profile.select(*keys, F.col("instant").alias("ts_end"), F.col("started_before"))
     counted = timed.join(at_start, [*keys, "ts_start"]).join(at_end, [*keys, "ts_end"])

@@ -47,8 +47,11 @@ def workdir(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of any executor."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint()
+    """The rows written once to the shared folder and read from there.
+
+    They survive the loss of any executor. Unlike a checkpoint the written table
+    keeps its size, by which Spark may broadcast it, and is read by column.
+    """
+    path = workdir(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
