@@ -16,7 +16,7 @@ MERGE = {"SUM": F.sum, "MIN": F.min, "MAX": F.max}
 def aggregate_kinds(df: DataFrame, types: dict[str, str]) -> dict[str, str]:
     """Value column → aggregate kind, read from type text such as ``BIGINT SUM``."""
     canonical = [aggregate_kind(normalise_type(F.lit(t))).alias(c) for c, t in types.items()]
-    kinds = df.sparkSession.range(1).select(*canonical).first().asDict()
+    kinds = df.sparkSession.sql("SELECT 1").select(*canonical).first().asDict()
     unknown = [c for c, k in kinds.items() if k not in MERGE]
     if unknown:
         raise ValueError(f"no aggregate kind in the type of {unknown}")

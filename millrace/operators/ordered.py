@@ -37,7 +37,7 @@ def running_totals(df: DataFrame, keys: list[str], order: str, slice_: Column, s
 
 
 def with_positions(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Adds ``pos``: the 0-based position of the row in its key, in total order.
+    """Adds ``pos``: the 0-based position of the row in its key; (keys, order) should be unique.
 
     Rows are range-partitioned on (keys, order), so a hot key spreads over many
     tasks. The row ids are written out once: a second evaluation could cut the
@@ -157,7 +157,7 @@ def deciles(df: DataFrame, keys: list[str], value: str, tiebreak: list[str], til
     return ranked.withColumn("tile", (tile + 1).cast("int")).withColumn("percent_rank", share).drop("pos", "first_pos", "total")
 
 
-def interval_profile(df: DataFrame, keys: list[str], start: str, end: str, slice_unit: str = "hour") -> DataFrame:
+def interval_profile(df: DataFrame, keys: list[str], start: str, end: str, slice_unit: str = "minute") -> DataFrame:
     """Per key and instant: intervals started before and up to it, ended up to it.
 
     Intervals are half-open, so an end at an instant precedes a start.

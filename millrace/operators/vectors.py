@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 QUERY_BLOCK = 256  # queries held by one task
 VECTOR_BLOCK = 65_536  # vectors scored at once where the queries are shuffled
@@ -31,17 +33,24 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 def _best(ids: np.ndarray, vectors: np.ndarray, query_ids, queries: np.ndarray, k: int) -> pd.DataFrame:
     """The k nearest of one block per query, by rounded score and then id."""
     scores = np.round(_unit(vectors) @ queries.T, SCORE_DIGITS)
+    floor = np.partition(scores, len(ids) - k, axis=0)[len(ids) - k] if len(ids) > k else scores.min(axis=0)
     kept = []
     for j, query_id in enumerate(query_ids):
-        order = np.lexsort((ids, -scores[:, j]))[:k]
+        able = np.flatnonzero(scores[:, j] >= floor[j])  # all ties of the k-th score
+        order = able[np.lexsort((ids[able], -scores[able, j]))[:k]]
         kept.append(pd.DataFrame({"query_id": query_id, "id": ids[order], "score": scores[order, j]}))
-    return pd.concat(kept, ignore_index=True) if kept else pd.DataFrame({"query_id": [], "id": [], "score": []})
+    return pd.concat(kept, ignore_index=True)
 
 
 def _matrix(arrays) -> np.ndarray:
     return np.stack([np.asarray(a, dtype=np.float64) for a in arrays])
 
 
+def _arrow_matrix(column) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
 def _ranked(candidates: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -54,7 +63,7 @@ def nearest(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: in
     shuffle carries tasks × queries × k rows. Up to one block of queries travels with
     the task; more than that are joined block by block.
     """
-    source = vectors.select(F.col(key).alias("id"), F.col(vector).alias("vector"))
+    source = vectors.select(F.col(key).alias("id"), F.col(vector).alias("vector")).filter("vector IS NOT NULL")
     id_type = source.schema["id"].dataType
     query_type = queries.schema["query_id"].dataType
     schema = T.StructType([T.StructField("query_id", query_type), T.StructField("id", id_type), T.StructField("score", T.DoubleType())])
@@ -62,21 +71,23 @@ def nearest(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: in
     if not held:
         return _ranked(vectors.sparkSession.createDataFrame([], schema), k)
     if len(held) <= query_block:
+        arrow_schema = to_arrow_schema(schema)
         query_ids = [r.query_id for r in held]
         matrix = _unit(_matrix([r.query for r in held]))
 
         def score(batches):
             best = None
             for batch in batches:
-                if len(batch):
-                    found = _best(batch["id"].to_numpy(), _matrix(batch["vector"]), query_ids, matrix, k)
+                if batch.num_rows:
+                    ids = batch.column("id").to_numpy(zero_copy_only=False)
+                    found = _best(ids, _arrow_matrix(batch.column("vector")), query_ids, matrix, k)
                     best = found if best is None else pd.concat([best, found], ignore_index=True)
                     order = best.sort_values(["query_id", "score", "id"], ascending=[True, False, True])
                     best = order.groupby("query_id", sort=False).head(k)
             if best is not None:
-                yield best
+                yield pa.RecordBatch.from_pandas(best, schema=arrow_schema, preserve_index=False)
 
-        return _ranked(source.mapInPandas(score, schema), k)
+        return _ranked(source.mapInArrow(score, schema), k)
 
     n_queries, n_vectors = queries.count(), source.count()
     query_blocks = -(-n_queries // query_block)

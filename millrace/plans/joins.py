@@ -117,7 +117,7 @@ def setting_in_force(t):
     facts = events.filter("event_type = 'signup'").select(
         "user_id", "ts", F.col("event_id").alias("signup_id"), F.col("value").alias("signup_value")
     )
-    found = ordered.as_of(asked, facts, ["user_id"], "ts", ["signup_id", "signup_value"], F.to_date("ts"))
+    found = ordered.as_of(asked, facts, ["user_id"], "ts", ["signup_id", "signup_value"], F.date_trunc("hour", "ts"))
     return found.select("event_id", "user_id", "signup_id", F.col("fact_at").alias("signup_at"), "signup_value")
 
 
