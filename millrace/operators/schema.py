@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ddl import column_ddl, normalise_type, value_type
+from ..functions.ddl import column_ddl, normalise_type, quote, value_type
 from ..functions.text import normal_setting, set_statement
 
 ATTRIBUTES = ("ord", "type", "nullable", "dflt", "comment")
@@ -55,6 +55,13 @@ def alter_statements(changes: DataFrame, table: Column, key: str = "table_id") -
     )
 
 
+def comment_statements(specs: DataFrame, table: Column, old: str, new: str, key: str = "table_id") -> DataFrame:
+    """The ALTER text of each changed table comment; it runs after the columns."""
+    changed = specs.filter(F.col(new).isNotNull() & ~F.col(old).eqNullSafe(F.col(new)))
+    stmt = F.concat(F.lit("ALTER TABLE "), table, F.lit(" COMMENT = "), quote(F.col(new)))
+    return changed.select(key, F.lit(2).alias("phase"), F.lit(1).alias("step"), stmt.alias("stmt"))
+
+
 def replacement_plan(specs: DataFrame, changes: DataFrame, replacing: list[tuple[str, str]], in_place: list[tuple[str, str]], key: str = "table_id") -> DataFrame:
     """NO_OP, IN_PLACE or REPLACE per table.
 

@@ -7,6 +7,7 @@ from . import (  # noqa: F401
     keymodels,
     search,
     sorts,
+    statements,
     storage,
     streams,
     text,

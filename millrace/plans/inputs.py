@@ -204,6 +204,27 @@ SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN 'bigint(20)' WHEN 1 THEN
 FROM part
 """
 
+DERIVED["database_specs"] = """
+SELECT 'db' || CAST(p_partkey AS STRING) AS db, CASE WHEN p_size > 25 THEN CAST(p_size AS STRING) || 'G' ELSE '' END AS data_quota,
+  CASE WHEN p_size % 2 = 0 THEN p_size * 1024 ELSE 0 END AS replica_quota, CASE WHEN p_size % 3 = 0 THEN 'vol_' || p_brand END AS storage_volume
+FROM part
+"""
+
+DERIVED["group_specs"] = """
+SELECT 'rg_' || CAST(c_custkey AS STRING) AS rg_name, CAST(c_nationkey + 1 AS STRING) || '.0%' AS mem_limit,
+  CASE WHEN c_acctbal > 0 THEN c_nationkey + 1 END AS concurrency_limit
+FROM customer
+"""
+
+DERIVED["group_rules"] = """
+SELECT 'rg_' || CAST(c_custkey AS STRING) AS rg_name, 2 AS classifier_id, CAST(NULL AS STRING) AS user_name, 'analyst' AS role_name,
+  CASE WHEN c_nationkey > 12 THEN 'select' END AS query_type, CASE WHEN c_acctbal > 5000 THEN '10.0.0.1' END AS source_ip, lower(c_mktsegment) AS db
+FROM customer
+UNION ALL
+SELECT 'rg_' || CAST(c_custkey AS STRING), 1, CASE WHEN c_acctbal > 0 THEN 'u' || CAST(c_custkey AS STRING) END, CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING)
+FROM customer
+"""
+
 # Oracle-only: each query with the group that its best classifier names.
 ORACLE_VIEWS = {
     "classified": """

@@ -66,23 +66,6 @@ def render_create_table(t):
     return ddl.render_create_table(t["actual_columns"], specs, "table_id")
 
 
-NEW_COLUMN_SQL = (
-    COLUMN_SQL.replace("type", "new_type").replace("nullable", "new_nullable").replace("dflt", "new_dflt").replace("|| comment", "|| new_comment")
-    .replace("WHEN comment", "WHEN new_comment")
-)
-
-
-@query("render_alter_statements", f"""
-SELECT table_id, CASE WHEN kind = 'DROP' THEN 0 ELSE 1 END AS phase, coalesce(d_ord, a_ord) AS step,
-  'ALTER TABLE `db1`.`t' || CAST(table_id AS STRING) || '` ' || CASE kind WHEN 'DROP' THEN 'DROP COLUMN `' || name || '`'
-  WHEN 'ADD' THEN 'ADD COLUMN ' || {NEW_COLUMN_SQL} ELSE 'MODIFY COLUMN ' || {NEW_COLUMN_SQL} END AS stmt FROM column_changes
-""")
-def render_alter_statements(t):
-    changes = schema.column_diff(t["desired_columns"], t["actual_columns"])
-    name = F.concat(F.lit("`db1`.`t"), F.col("table_id").cast("string"), F.lit("`"))
-    return schema.alter_statements(changes, name)
-
-
 @query("snapshot_removed_columns", """
 SELECT table_id, name FROM actual_columns EXCEPT ALL SELECT table_id, name FROM desired_columns
 """)
