@@ -27,7 +27,7 @@ SECRET_KEY = r"(?i)(password|passwd|secret|token|access[-_.]?key|credential|priv
 def quota_bytes(quota: Column) -> Column:
     """``10G`` → bytes; empty, zero or unreadable text → null (no quota)."""
     pattern = r"(?i)^\s*(\d+)\s*([KMGTP]?)B?\s*$"
-    number = F.regexp_extract(quota, pattern, 1).try_cast("bigint")
+    number = F.nullif(F.regexp_extract(quota, pattern, 1), F.lit("")).try_cast("bigint")
     unit = F.upper(F.regexp_extract(quota, pattern, 2))
     factor = F.lit(None).cast("bigint")
     for letter, power in UNIT_POWERS.items():
@@ -43,7 +43,8 @@ def positive_limit(text: Column) -> Column:
 
 def percent_fraction(text: Column) -> Column:
     """``80.0%`` → 0.8"""
-    return F.regexp_extract(text, r"^\s*(\d+(?:\.\d+)?)\s*%\s*$", 1).try_cast("double") / 100
+    number = F.regexp_extract(text, r"^\s*(\d+(?:\.\d+)?)\s*%\s*$", 1)
+    return F.nullif(number, F.lit("")).cast("double") / 100
 
 
 def import_parts(text: Column, n: int) -> list[Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.casts import cast_or_null
 from .schema import spark_type
 
 
@@ -60,7 +61,7 @@ def constraint_violations(df: DataFrame, spec: list[tuple[str, str, bool]]) -> D
                 checks.append((name, "LENGTH", F.length(col.cast("string")) > limit))
         else:
             rule = "RANGE" if target.startswith("decimal") else "CAST"
-            checks.append((name, rule, col.isNotNull() & col.try_cast(target).isNull()))
+            checks.append((name, rule, col.isNotNull() & cast_or_null(col, df.schema[name].dataType, target).isNull()))
     totals = df.agg(*(F.count_if(bad).alias(f"c{i}") for i, (_, _, bad) in enumerate(checks)))
     cells = [
         F.struct(F.lit(n).alias("column_name"), F.lit(r).alias("rule"), F.col(f"c{i}").alias("n_rows"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.casts import cast_or_null
 from ..functions.ddl import column_ddl, normalise_type, quote, value_type
 from ..functions.text import normal_setting, set_statement
 
@@ -158,7 +159,7 @@ def apply_schema_change(df: DataFrame, changes: list[dict]) -> DataFrame:
     columns = []
     for name in df.columns:
         if name in modified:
-            columns.append(F.col(name).try_cast(modified[name]).alias(name))
+            columns.append(cast_or_null(F.col(name), df.schema[name].dataType, modified[name]).alias(name))
         elif name not in dropped:
             columns.append(F.col(name))
     for c in changes:
@@ -172,7 +173,7 @@ def cast_failures(df: DataFrame, changes: list[dict]) -> DataFrame:
     modified = {c["name"]: spark_type(c["type"]) for c in changes if c["kind"] == "MODIFY"}
     sums = []
     for name, type_ in modified.items():
-        lost = F.col(name).isNotNull() & F.col(name).try_cast(type_).isNull()
+        lost = F.col(name).isNotNull() & cast_or_null(F.col(name), df.schema[name].dataType, type_).isNull()
         sums += [F.count(name).alias(f"{name}_n"), F.count_if(lost).alias(f"{name}_lost")]
     totals = df.agg(*sums)
     cells = [F.struct(F.lit(n).alias("column_name"), F.col(f"{n}_n").alias("n_values"), F.col(f"{n}_lost").alias("n_lost")) for n in modified]

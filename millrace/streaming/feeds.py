@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ROCKSDB
-
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+SETTINGS = {
+    # State may outgrow the heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Sessions of a hot key are merged in each task before the shuffle.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+}
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -31,7 +34,8 @@ def _start(writer, checkpoint: str) -> None:
 
 def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
     """Run the stream over all that is there now and append its rows to a parquet folder."""
-    stream.sparkSession.conf.set(STATE_STORE, ROCKSDB)  # state beyond the heap, and timers
+    for name, value in SETTINGS.items():
+        stream.sparkSession.conf.set(name, value)
     _start(stream.writeStream.format("parquet").outputMode(mode).option("path", out), checkpoint)
 
 

@@ -27,9 +27,15 @@ def run_closed(spark: SparkSession, stream: DataFrame, work: str, at: str, build
     return spark.read.parquet(f"{work}/out")
 
 
-def unique_rows(stream: DataFrame, key: str, at: str, delay: str) -> DataFrame:
-    """The first row of each key; keys are forgotten once the watermark passes them."""
-    return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
+def unique_rows(stream: DataFrame, key: str, at: str, delay: str, salts: int = 8) -> DataFrame:
+    """The first row of each key; keys are forgotten once the watermark passes them.
+
+    A first pass per (key, salt) leaves at most one row per salt, so the copies of a hot
+    key are dropped by several tasks before the pass per key.
+    """
+    salted = stream.withWatermark(at, delay).withColumn("salt", F.floor(F.rand(1) * salts))
+    thinned = salted.dropDuplicatesWithinWatermark([key, "salt"]).drop("salt")
+    return thinned.dropDuplicatesWithinWatermark([key])
 
 
 def windowed_counts(stream: DataFrame, at: str, delay: str, length: str, slide: str | None, keys: list[str]) -> DataFrame:

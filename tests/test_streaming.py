@@ -3,7 +3,7 @@
 from compare import spark_rows
 from pyspark.sql import functions as F
 
-from millrace.operators import keymodels
+from millrace.operators import keymodels, ordered
 from millrace.plans.keymodels import FEED_ORDER, feed_order
 from millrace.session import workdir
 from millrace.streaming import feeds
@@ -67,3 +67,27 @@ def test_job_monitor_over_several_reports(spark):
         (1, "finished", "2024-01-01 00:01:30"), (2, "timed_out", "2024-01-01 00:05:00"),
         (3, "timed_out", "2024-01-01 00:00:00"), (4, "cancelled", "2024-01-01 00:00:00"),
     }
+
+
+def test_dedup_of_a_hot_key_over_batches(spark):
+    work = workdir(spark, "t-dedup")
+    ids = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 100)
+    rows = spark.range(900).select(ids.alias("event_id"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"), (F.col("id") % 2).alias("part"))
+    for part in (0, 1):
+        rows.filter(F.col("part") == part).repartition(4).write.mode("append").parquet(f"{work}/in")
+    stream = feeds.read_stream(spark, f"{work}/in", 3)
+    feeds.drain(st.unique_rows(stream, "event_id", "ts", "1 hour"), f"{work}/out", f"{work}/checkpoint")
+    got = sorted(r.event_id for r in spark.read.parquet(f"{work}/out").collect())
+    assert got == sorted({r.event_id for r in rows.collect()})
+
+
+def test_sessions_over_batches(spark, inputs):
+    work, events = workdir(spark, "t-sessions"), inputs["events"].select("event_id", "ts", "user_id")
+    for low, high in (("2024-01-01", "2024-01-15"), ("2024-01-15", "2024-02-01")):
+        events.filter((F.col("ts") >= low) & (F.col("ts") < high)).coalesce(1).write.mode("append").parquet(f"{work}/in")
+    stream = feeds.read_stream(spark, f"{work}/in", 1)
+    closed = st.run_closed(spark, stream, work, "ts", lambda s: st.session_counts(s, "ts", "1 hour", "6 hours", ["user_id"]))
+    batch = ordered.sessions(events, ["user_id"], "ts", 6 * 3600, {})
+    columns = ["user_id", "session_start", "session_end", "n_rows"]
+    ntz = [F.col(c).cast("timestamp_ntz").alias(c) if c.startswith("session") else c for c in columns]
+    assert spark_rows(closed.select(*ntz)) == spark_rows(batch.select(*columns))

@@ -2,8 +2,10 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from millrace.functions import ddl, text
+from millrace.functions.casts import cast_or_null
 
 
 def one(spark, value, *exprs):
@@ -128,3 +130,16 @@ def test_properties(spark):
     assert merged == [{"a": "2", "gone": "x"}, {"b": "1"}, {"c": "1"}]
     masked = df.limit(1).select(text.redact(F.create_map(F.lit("aws.s3.access_key"), F.lit("k"), F.lit("uri"), F.lit("u")))).first()[0]
     assert masked == {"aws.s3.access_key": "******", "uri": "u"}
+
+
+@pytest.mark.parametrize("value, target, want", [
+    ("12", "int", 12), (" +12\n", "int", 12), ("1.5", "int", None), ("5-LOW", "int", None), ("300", "tinyint", None),
+    ("1e3", "double", 1000.0), ("Infinity", "double", float("inf")), ("abc", "double", None), ("12.345", "decimal(4,2)", None),
+    ("true", "boolean", True), ("maybe", "boolean", None), (None, "int", None),
+])
+def test_cast_or_null(spark, value, target, want):
+    got = one(spark, value, cast_or_null(F.col("s"), StringType(), target))
+    plain = one(spark, value, F.col("s").try_cast(target))
+    assert got == plain
+    if target != "decimal(4,2)":
+        assert got == want
