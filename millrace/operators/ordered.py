@@ -160,13 +160,14 @@ def deciles(df: DataFrame, keys: list[str], value: str, tiebreak: list[str], til
 def interval_profile(df: DataFrame, keys: list[str], start: str, end: str, slice_unit: str = "minute") -> DataFrame:
     """Per key and instant: intervals started before and up to it, ended up to it.
 
-    Intervals are half-open, so an end at an instant precedes a start.
+    Intervals are half-open, so an end at an instant precedes a start. One without an
+    end is still running.
     """
     point = F.explode(F.array(
         F.struct(F.col(start).alias("instant"), F.lit(1).alias("started"), F.lit(0).alias("ended")),
         F.struct(F.col(end).alias("instant"), F.lit(0).alias("started"), F.lit(1).alias("ended")),
     ))
-    points = df.select(*keys, point.alias("p")).select(*keys, "p.*")
+    points = df.select(*keys, point.alias("p")).select(*keys, "p.*").filter("instant IS NOT NULL")
     instants = points.groupBy(*keys, "instant").agg(F.sum("started").alias("started"), F.sum("ended").alias("ended"))
     profile = running_totals(instants, keys, "instant", F.date_trunc(slice_unit, "instant"), ["started", "ended"])
     return profile.withColumn("started_before", F.col("run_started") - F.col("started"))

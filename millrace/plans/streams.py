@@ -76,12 +76,13 @@ def stream_sessions(t):
 
 
 @query("stream_late_rows", """
-SELECT event_id, event_type, event_type = 'error' AND ts < (SELECT max(ts) FROM events WHERE event_type <> 'error') - INTERVAL 1 DAY AS late FROM events
+SELECT event_id, event_type, coalesce(event_type = 'error', FALSE)
+  AND ts < (SELECT max(ts) FROM events WHERE event_type IS DISTINCT FROM 'error') - INTERVAL 1 DAY AS late FROM events
 """)
 def stream_late_rows(t):
     """Errors arrive after everything else; those a day behind by then are late."""
     work, events = workdir(t.spark, "stream-late"), t["events"]
-    for arrival in (events.filter("event_type <> 'error'"), events.filter("event_type = 'error'")):
+    for arrival in (events.filter("event_type IS DISTINCT FROM 'error'"), events.filter("event_type = 'error'")):
         arrival.write.mode("append").parquet(f"{work}/inbox")
         st.split_late(st.read_stream(t.spark, f"{work}/inbox"), work, "ts", "1 DAY")
     return t.spark.read.parquet(f"{work}/rows").select("event_id", "event_type", "late")

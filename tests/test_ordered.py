@@ -146,3 +146,11 @@ def test_classification_rules(spark):
     got = {r.query_id: r.rg_name for r in workload.classify(log, rules).collect()}
     assert got == {"q1": "two", "q2": "db", "q3": "rg_default"}
     assert {r.rg_name for r in workload.classify(log, rules.limit(0)).collect()} == {"rg_default"}
+
+
+def test_a_run_without_end_keeps_counting(spark):
+    rows = [("g", START, None), ("g", START + dt.timedelta(days=1), 60_000)]
+    log = spark.createDataFrame(rows, "rg_name string, ts_start timestamp_ntz, query_time_ms long")
+    groups = spark.createDataFrame([("g", 0)], "rg_name string, concurrency_limit int")
+    peaks = {str(r.day): (r.peak, r.over_limit) for r in workload.concurrency_peaks(log, groups).collect()}
+    assert peaks == {"2024-01-01": (1, False), "2024-01-02": (2, False)}

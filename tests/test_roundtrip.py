@@ -95,3 +95,26 @@ def test_null_keys_are_violations(spark):
 def test_defaults_fill_absent_columns_only(spark):
     batch = spark.createDataFrame([(1, None)], "id int, props string")
     assert schema.fill_defaults(batch, {"props": ("string", "{}"), "n": ("bigint", "0")}).first().asDict() == {"id": 1, "props": None, "n": 0}
+
+
+def test_column_changes_reach_the_data(spark):
+    """Add a column, change its type, drop it; then the diff is empty each time."""
+    spec = "table_id int, ord int, name string, type string, nullable boolean, dflt string, comment string"
+    columns = [(1, 1, "id", "BIGINT", False, None, None), (1, 2, "payload", "VARCHAR(1024)", True, None, None)]
+    steps = [
+        columns + [(1, 3, "score", "bigint(20)", True, "7", None)],
+        columns + [(1, 3, "score", "DOUBLE", True, "7", None)],
+        [columns[0], (1, 2, "payload", "INT", True, None, None)],
+    ]
+    data, now = spark.createDataFrame([(1, "12"), (2, "x")], "id long, payload string"), columns
+    seen = []
+    for step in steps:
+        diff = schema.column_diff(spark.createDataFrame(step, spec), spark.createDataFrame(now, spec))
+        changes = schema.typed_changes(diff)
+        data, now = schema.apply_schema_change(data, changes), step
+        seen.append((data.dtypes, [tuple(r) for r in data.orderBy("id").collect()]))
+    assert seen == [
+        ([("id", "bigint"), ("payload", "string"), ("score", "bigint")], [(1, "12", 7), (2, "x", 7)]),
+        ([("id", "bigint"), ("payload", "string"), ("score", "double")], [(1, "12", 7.0), (2, "x", 7.0)]),
+        ([("id", "bigint"), ("payload", "int")], [(1, 12), (2, None)]),
+    ]
