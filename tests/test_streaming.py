@@ -1,9 +1,11 @@
 """Streams over several micro-batches, with restarts and repeated batches."""
 
 from compare import spark_rows
+from conftest import SF_DIR
 from pyspark.sql import functions as F
 
 from millrace.operators import keymodels, ordered
+from millrace.plans import QUERIES
 from millrace.plans.keymodels import FEED_ORDER, feed_order
 from millrace.session import workdir
 from millrace.streaming import feeds
@@ -91,3 +93,9 @@ def test_sessions_over_batches(spark, inputs):
     columns = ["user_id", "session_start", "session_end", "n_rows"]
     ntz = [F.col(c).cast("timestamp_ntz").alias(c) if c.startswith("session") else c for c in columns]
     assert spark_rows(closed.select(*ntz)) == spark_rows(batch.select(*columns))
+
+
+def test_monitor_agrees_with_the_batch_outcomes(spark):
+    """Once all limits have passed, a running job has timed out."""
+    batch = QUERIES["job_timeouts"](spark, SF_DIR).select("job_id", F.replace("outcome", F.lit("running"), F.lit("timed_out")).alias("outcome"))
+    assert spark_rows(QUERIES["stream_job_monitor"](spark, SF_DIR).select("job_id", "outcome")) == spark_rows(batch)
