@@ -8,8 +8,8 @@ import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import workdir
-from . import bpe, token_counts, token_files
+from ..session import cut_lineage, workdir
+from . import bpe, decontaminate, quality, simhash, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,8 +43,35 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), "start", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+@register
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rid"), "text")
+    found = decontaminate.contamination(rows, table(spark, sf_dir, "benchmark"))
+    hit = F.array_distinct(F.flatten(F.transform("matches", lambda m: F.sequence(m["start"], m["start"] + m["n_words"] - 1))))
+    return found.select(F.col("rid").alias("doc_id"), "n_words", F.size(hit).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.col("matches.item_id"))).alias("items")).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@register
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    verdicts = quality.judge(cut_lineage(quality.measure(texts).drop("text")))
+    return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @register
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.count_tokens(texts, vocabularies.path("word_bpe_49k.json"))\
-        .select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    counted = token_counts.count_tokens(texts, vocabularies.path("word_bpe_49k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
