@@ -4,19 +4,48 @@ from __future__ import annotations
 
 import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import bpe
+from millrace.llm import bpe, decontaminate, pii, quality, simhash
 from millrace.session import cut_lineage
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality rules reject."""
+    return quality.apply_rules(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the least id."""
+    return simhash.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a window of a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return decontaminate.decontaminate(docs, items)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind; ``n_chars`` follows the text."""
+    clean = pii.redact(docs, pii.train(pii.labelled(spark)))
+    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids."""
     return bpe.encode(docs, vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN)
 
 
-STAGES = [("encode", encode)]
+STAGES = [
+    ("quality rules", keep_good),
+    ("near-duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal data", mask_personal_data),
+    ("token ids", encode),
+]
 
-#: The stages hold fingerprints, a trained model and token merges, which SQL can't express.
+#: The stages hold sketches, fingerprints, a trained model and token merges, which SQL can't express.
 ORACLE_SQL = None
 
 

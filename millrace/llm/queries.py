@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, workdir
-from . import bpe, decontaminate, html_text, quality, simhash, token_counts, token_files, url_filter
+from . import bpe, decontaminate, html_text, pii, quality, simhash, token_counts, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,6 +105,25 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _is_kind(kind, span):
+    return span["kind"] == kind
+
+
+@register
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(texts, pii.train(pii.labelled(spark))).select("doc_id", "spans")
+    written = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, partial(_is_kind, kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(F.array_join(F.transform(base, written), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", written), ",").alias("spans"),
+    )
+
+
 @register
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
