@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, workdir
-from . import bpe, decontaminate, html_text, pii, quality, simhash, token_counts, token_files, url_filter
+from . import bpe, decontaminate, html_text, passages, pii, quality, simhash, token_counts, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,6 +66,11 @@ FROM parsed p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
 """
 
 
+@register
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @register
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = vocabularies.path("byte_bpe_50k.tiktoken")
