@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import blocks, named
-from .pieces import Pieces, chunks, pack
+from .pieces import pack, pieces
 
 #: Fixed values of the seekable format: skippable frame, end of seek table, "has checksums".
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -137,12 +137,12 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str, end_id: int, key: s
     """
 
     def run(batches):
-        pieces, writer, end = Pieces(tokenizer), None, pack([end_id])
-        width = 2 if max(pieces.library.get_vocab_size() - 1, end_id) < 1 << 16 else 4
+        vocabulary, writer, end = pieces(tokenizer), None, pack([end_id])
+        width = 2 if max(vocabulary.library.get_vocab_size() - 1, end_id) < 1 << 16 else 4
         for batch in batches:
             for block in blocks(batch, 1):
-                split = [chunks(t) for t in block.column(1).to_pylist()]
-                known = pieces.learn(set().union(*split))
+                split = [vocabulary.split(t) for t in block.column(1).to_pylist()]
+                known = vocabulary.learn(set().union(*split))
                 for one, words in zip(block.column(0).to_pylist(), split, strict=True):
                     writer = writer or Writer(width)
                     writer.add(one, b"".join(map(known.__getitem__, words)) + end)
