@@ -134,5 +134,6 @@ def judge(measured: DataFrame, lang: str = "lang", source: str = "source") -> Da
 
 def apply_rules(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The documents of ``df`` that the rules keep, with their own columns."""
-    verdicts = judge(cut_lineage(measure(df, text)), lang, source)
-    return verdicts.filter("kept").select(*map(named, df.columns))
+    rows = df.select(F.struct(*map(named, df.columns)).alias("row"), named(text).alias("text"), named(lang).alias("lang"), named(source).alias("source"))
+    verdicts = judge(cut_lineage(measure(rows).drop("text")))
+    return verdicts.filter("kept").select(*[F.col("row").getField(c).alias(c) for c in df.columns])
