@@ -5,29 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quoting import QUOTED, hide_escapes, last_of_each, outside, quote, quoted_pairs, unquote
+
 # The integer types a server prints with a display width.
 WIDTH_TYPES = "TINYINT|SMALLINT|INT|BIGINT|LARGEINT"
 # The aggregate kinds a value column's type may end with.
 AGGREGATES = "SUM|MIN|MAX|REPLACE"
 
-QUOTED = r'"((?:[^"\\]|\\.)*)"'
 # name, type, nullability, default, comment
 COLUMN_LINE = (
-    r"(?i)^\s*`([^`]+)`\s+(?!(?:NOT\s+)?NULL\b)(\S.*?)(?:\s+(NOT\s+NULL|NULL))?"
+    r"(?i)^\s*`([^`]+)`\s+(?!(?:NOT\s+)?NULL\b)(\S[^\"]*?)(?:\s+(NOT\s+NULL|NULL))?"
     rf"(?:\s+DEFAULT\s+{QUOTED})?(?:\s+COMMENT\s+{QUOTED})?\s*,?\s*$"
 )
 
 
-def quote(text: Column) -> Column:
-    """Double-quoted literal with backslash and quote escaped."""
-    escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.concat(F.lit('"'), escaped, F.lit('"'))
-
-
-def unquote(body: Column) -> Column:
-    return F.regexp_replace(body, r"\\(.)", "$1")
-
-
 def _some(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
@@ -61,14 +52,35 @@ def column_ddl(name: Column, type_: Column, nullable: Column, dflt: Column, comm
     )
 
 
+def _split_block(hidden: Column) -> tuple[Column, Column]:
+    """What stands between the first parenthesis outside quotes and the one that closes it, and what follows."""
+    # Quoted texts become as many blanks, so that places agree.
+    blank = F.array_join(F.transform(F.split(hidden, '"'), lambda p, i: F.when(i % 2 == 1, F.repeat(F.lit(" "), F.length(p))).otherwise(p)), '"')
+    pieces = F.split(blank, r"(?<=[()])")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+
+    def step(s, piece):
+        depth = s["depth"] + F.when(F.endswith(piece, F.lit("(")), 1).when(F.endswith(piece, F.lit(")")), -1).otherwise(0)
+        at = s["at"] + F.length(piece)
+        first = F.when((s["first"] == 0) & (depth == 1), at).otherwise(s["first"])
+        last = F.when((s["last"] == 0) & (first > 0) & (depth == 0), at).otherwise(s["last"])
+        return F.struct(depth.alias("depth"), at.alias("at"), first.alias("first"), last.alias("last"))
+
+    ends = F.aggregate(pieces, start, step)
+    inside = F.call_function("substring", hidden, ends["first"] + 1, F.greatest(ends["last"] - ends["first"] - 1, F.lit(0)))
+    return inside, F.when(ends["last"] > 0, F.call_function("substring", hidden, ends["last"] + 1, F.length(hidden))).otherwise("")
+
+
 def parse_columns(corpus: DataFrame, key: str, ddl: str) -> DataFrame:
-    """One row per column line of each DDL text, numbered in order."""
-    lines = F.filter(F.split(F.col(ddl), "\n"), lambda line: line.rlike(COLUMN_LINE))
+    """One row per column of each DDL text, numbered in order; one column a line or several."""
+    taken = corpus.select(key, _split_block(hide_escapes(F.col(ddl)))[0].alias("block"))
+    one_each = outside(F.col("block"), lambda p: F.regexp_replace(p, r",\s*+`", ",\n`"))
+    lines = F.filter(F.split(one_each, "\n"), lambda line: line.rlike(COLUMN_LINE))
 
     def part(group):
         return F.regexp_extract("line", COLUMN_LINE, group)
 
-    return corpus.select(key, F.posexplode(lines).alias("pos", "line")).select(
+    return taken.select(key, F.posexplode(lines).alias("pos", "line")).select(
         key,
         (F.col("pos") + 1).alias("ord"),
         part(1).alias("name"),
@@ -80,30 +92,33 @@ def parse_columns(corpus: DataFrame, key: str, ddl: str) -> DataFrame:
 
 
 def parse_tables(corpus: DataFrame, key: str, ddl: str) -> DataFrame:
-    """Table-level clauses; properties as a map, key columns as an array."""
-    text = F.col(ddl)
-    # All clauses follow the line that closes the column block.
-    tail = F.regexp_extract(text, r"(?s)\n\s*\)(.*)$", 1)
-    pair = rf"{QUOTED}\s*=\s*{QUOTED}"
+    """Table-level clauses, on lines of their own or not; properties as a map (the last of a key), key columns as an array."""
+    # All clauses follow the column block.
+    taken = corpus.select(key, F.col(ddl).alias("ddl"), _split_block(hide_escapes(F.col(ddl)))[1].alias("tail"))
     props = F.regexp_extract("tail", r"(?is)\bPROPERTIES\s*\((.*)\)", 1)
-    key_clause = r"(?im)^(DUPLICATE KEY|AGGREGATE KEY|UNIQUE KEY|PRIMARY KEY)\s*\(([^)]*)\)"
+    key_clause = r"(?i)\b(DUPLICATE KEY|AGGREGATE KEY|UNIQUE KEY|PRIMARY KEY)\s*\(([^)]*+)\)"
     key_list = F.regexp_extract("tail", key_clause, 2)
-    return corpus.select(key, text.alias("ddl"), tail.alias("tail")).select(
+
+    # Without the texts that may hold the words of a clause.
+    bare = F.regexp_replace(F.regexp_replace("tail", rf"(?i)\bCOMMENT\s+{QUOTED}", "COMMENT"), r"(?is)\bPROPERTIES\s*\(.*", "PROPERTIES")
+
+    def clause(words):
+        # Up to the end of the line or the next clause.
+        return _some(F.trim(F.regexp_extract(bare, rf"(?i)\b({words}[^\n]+?)(?=\s+(?:DISTRIBUTED BY|ORDER BY|PROPERTIES|COMMENT)\b|\s*+;?\s*+(?:\n|$))", 1)))
+
+    return taken.select(
         key,
         F.regexp_extract("ddl", r"(?i)CREATE TABLE `([^`]+)`", 1).alias("name"),
-        _some(F.regexp_extract("tail", r"(?i)^\s*ENGINE\s*=\s*(\w+)", 1)).alias("engine"),
+        _some(F.regexp_extract("tail", r"(?i)\bENGINE\s*=\s*(\w+)", 1)).alias("engine"),
         _some(F.upper(F.regexp_extract("tail", key_clause, 1))).alias("key_type"),
         F.when(
             key_list != "",
             F.transform(F.split(key_list, ","), lambda k: F.regexp_replace(k, r"^\s*`?|`?\s*$", "")),
         ).alias("key_columns"),
-        _some(F.trim(F.regexp_extract("tail", r"(?im)^(PARTITION BY[^\n]+)", 1))).alias("partition_by"),
-        _some(F.trim(F.regexp_extract("tail", r"(?im)^(DISTRIBUTED BY[^\n]+)", 1))).alias("distributed_by"),
-        _some(unquote(F.regexp_extract("tail", rf"(?im)^COMMENT\s+{QUOTED}", 1))).alias("comment"),
-        F.map_from_arrays(
-            F.transform(F.regexp_extract_all(props, F.lit(pair), 1), unquote),
-            F.transform(F.regexp_extract_all(props, F.lit(pair), 2), unquote),
-        ).alias("properties"),
+        clause("PARTITION BY").alias("partition_by"),
+        clause("DISTRIBUTED BY").alias("distributed_by"),
+        _some(unquote(F.regexp_extract("tail", rf"(?i)\bCOMMENT\s+{QUOTED}", 1))).alias("comment"),
+        last_of_each(*quoted_pairs(props)).alias("properties"),
     )
 
 
@@ -126,7 +141,7 @@ def render_create_table(columns: DataFrame, specs: DataFrame, key: str) -> DataF
     text = F.concat_ws(
         "\n",
         F.concat(F.lit("CREATE TABLE IF NOT EXISTS `"), F.col("db"), F.lit("`.`"), F.col("name"), F.lit("` (")),
-        F.concat(F.lit("  "), F.array_join(F.col("cols.ddl"), ",\n  ")),
+        F.concat(F.lit("  "), F.array_join(F.col("cols.ddl"), ",\n  ")),  # left out if there are none
         F.lit(")"),
         F.when(F.col("engine") != "", F.concat(F.lit("ENGINE = "), F.col("engine"))),
         F.when(
@@ -141,4 +156,4 @@ def render_create_table(columns: DataFrame, specs: DataFrame, key: str) -> DataF
             F.concat(F.lit("PROPERTIES ("), render_properties(F.col("properties")), F.lit(")")),
         ),
     )
-    return specs.join(bodies, key).select(key, text.alias("ddl"))
+    return specs.join(bodies, key, "left").select(key, text.alias("ddl"))

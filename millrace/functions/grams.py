@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = "[a-z0-9]+"
+TOKEN = r"[\p{L}\p{N}]+"
 
 
 def tokens(text: Column) -> Column:

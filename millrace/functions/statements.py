@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ddl import quote, render_properties
+from .ddl import render_properties
+from .quoting import quote
 
 # Classifier column → how its condition is written.
 CONDITION_FORMATS = {

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .quoting import hide_escapes, last_of_each, quoted_pairs
+
 # Unit letter → power of 1024.
 UNIT_POWERS = {"": 0, "K": 1, "M": 2, "G": 3, "T": 4, "P": 5}
 
@@ -77,7 +79,8 @@ def not_found_flags(message: Column) -> dict[str, Column]:
 
 def normal_statement(stmt: Column) -> Column:
     """Literals become ``?``, white space collapses; digits inside names stay."""
-    no_strings = F.regexp_replace(stmt, r"'(?:[^']|'')*'", "?")
+    # A doubled quote inside a literal makes it two that touch: they fold into one.
+    no_strings = F.regexp_replace(F.regexp_replace(stmt, r"'[^']*+'", "?"), r"\?{2,}+", "?")
     no_numbers = F.regexp_replace(no_strings, r"\b\d+(?:\.\d+)?\b", "?")
     return F.trim(F.regexp_replace(no_numbers, r"\s+", " "))
 
@@ -111,13 +114,9 @@ def set_statement(name: Column, value: Column) -> Column:
 
 def strip_index_type(raw: Column) -> tuple[Column, Column]:
     """``NGRAMBF("GRAM_NUM" = "4")`` → (type, lower-cased property map)."""
-    pair = r'"([^"]+)"\s*=\s*"([^"]*)"'
     kind = F.upper(F.trim(F.split_part(raw, F.lit("("), F.lit(1))))
-    props = F.map_from_arrays(
-        F.transform(F.regexp_extract_all(raw, F.lit(pair), 1), F.lower),
-        F.regexp_extract_all(raw, F.lit(pair), 2),
-    )
-    return kind, props
+    keys, values = quoted_pairs(hide_escapes(raw))
+    return kind, last_of_each(F.transform(keys, F.lower), values)
 
 
 def redact(props: Column) -> Column:

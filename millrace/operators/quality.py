@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.casts import cast_or_null
-from .schema import spark_type
+from .schema import spark_type, text_limit
 
 
 def bucket_of(value: Column, n: int) -> Column:
@@ -23,7 +23,7 @@ def bucket_skew(df: DataFrame, column: str, n: int) -> DataFrame:
 
 
 def column_profile(df: DataFrame, columns: list[str], min_share: float = 0.0001, min_distinct: int = 100) -> DataFrame:
-    """Per column: nulls, distinct values, least and greatest text, longest text.
+    """Per column: nulls, distinct values, least and greatest value, longest text.
 
     Unpivoted and counted per (column, value) first, so the distinct count is a plain
     aggregate. ``bitmap_fit`` marks moderate to high cardinality.
@@ -35,10 +35,12 @@ def column_profile(df: DataFrame, columns: list[str], min_share: float = 0.0001,
         F.sum("n").alias("n_rows"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).cast("bigint").alias("n_null"),
         F.count("value").alias("n_distinct"),
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"),
         F.max(F.length("value")).alias("max_length"),
     )
+    # Least and greatest in the column's own order, not that of its text.
+    ends = df.agg(*(f(c).cast("string").alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("least", F.min), ("most", F.max))))
+    cells = [F.struct(F.lit(c).alias("column_name"), F.col(f"least{i}").alias("min_value"), F.col(f"most{i}").alias("max_value")) for i, c in enumerate(columns)]
+    profile = profile.join(ends.select(F.explode(F.array(*cells)).alias("c")).select("c.*"), "column_name")
     fit = (F.col("n_distinct") >= min_distinct) & (F.col("n_distinct") >= F.col("n_rows") * min_share)
     return profile.withColumn("bitmap_fit", fit)
 
@@ -56,12 +58,13 @@ def constraint_violations(df: DataFrame, spec: list[tuple[str, str, bool]]) -> D
             checks.append((name, "NOT_NULL", col.isNull()))
         target = spark_type(type_)
         if target == "string":
-            if "(" in type_:
-                limit = int(type_[type_.index("(") + 1 : type_.index(")")])
+            if limit := text_limit(type_):
                 checks.append((name, "LENGTH", F.length(col.cast("string")) > limit))
         else:
             rule = "RANGE" if target.startswith("decimal") else "CAST"
             checks.append((name, rule, col.isNotNull() & cast_or_null(col, df.schema[name].dataType, target).isNull()))
+    if not checks:
+        return df.sparkSession.createDataFrame([], "column_name string, rule string, n_rows bigint")
     totals = df.agg(*(F.count_if(bad).alias(f"c{i}") for i, (_, _, bad) in enumerate(checks)))
     cells = [
         F.struct(F.lit(n).alias("column_name"), F.lit(r).alias("rule"), F.col(f"c{i}").alias("n_rows"))

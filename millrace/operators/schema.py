@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.casts import cast_or_null
-from ..functions.ddl import column_ddl, normalise_type, quote, value_type
+from ..functions.ddl import column_ddl, normalise_type, value_type
+from ..functions.quoting import quote
 from ..functions.text import normal_setting, set_statement
 
 ATTRIBUTES = ("ord", "type", "nullable", "dflt", "comment")
@@ -93,23 +97,27 @@ def missing_objects(recorded: DataFrame, live: DataFrame, keys: list[str]) -> Da
 
 
 def index_rule_violations(defs: DataFrame, columns: DataFrame, key: str = "table_id") -> DataFrame:
-    """Index definitions that break a rule, one row per definition and reason."""
-    tables = columns.select(key).distinct()
-    orphans = defs.join(tables, key, "left_anti").withColumn("reason", F.lit("TABLE_MISSING"))
-    placed = columns.select(key, F.col("name").alias("column_name")).distinct()
-    homeless = (
-        defs.join(tables, key, "left_semi")
-        .join(placed, [key, "column_name"], "left_anti")
-        .withColumn("reason", F.lit("COLUMN_MISSING"))
-    )
-
-    def repeated(column, reason):
-        groups = defs.groupBy(key, column).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        return defs.join(groups.drop("n"), [key, column], "left_semi").withColumn("reason", F.lit(reason))
+    """Index definitions that break a rule, one row per definition and reason.
 
-    parts = [orphans, homeless, repeated("column_name", "COLUMN_INDEXED_TWICE"), repeated("index_name", "NAME_REUSED")]
-    columns_out = [key, "index_name", "column_name", "reason"]
-    return reduce(DataFrame.unionByName, [p.select(*columns_out) for p in parts])
+    Tables and columns each join once; repeated names are counted over the definitions
+    of one table.
+    """
+    tables = columns.select(F.col(key).alias("known_table")).distinct()
+    placed = columns.select(F.col(key).alias("column_table"), F.col("name").alias("known_column")).distinct()
+    per_column = W.partitionBy(key, "column_name")
+    per_name = W.partitionBy(key, "index_name")
+    checked = (
+        defs.withColumns({"same_column": F.count(F.lit(1)).over(per_column), "same_name": F.count(F.lit(1)).over(per_name)})
+        .join(tables, F.col(key) == F.col("known_table"), "left")
+        .join(placed, (F.col(key) == F.col("column_table")) & (F.col("column_name") == F.col("known_column")), "left")
+    )
+    reasons = F.array(
+        F.when(F.col("known_table").isNull(), "TABLE_MISSING"),
+        F.when(F.col("known_table").isNotNull() & F.col("known_column").isNull(), "COLUMN_MISSING"),
+        F.when((F.col("same_column") > 1) & F.col("column_name").isNotNull(), "COLUMN_INDEXED_TWICE"),
+        F.when((F.col("same_name") > 1) & F.col("index_name").isNotNull(), "NAME_REUSED"),
+    )
+    return checked.select(key, "index_name", "column_name", F.explode(F.array_compact(reasons)).alias("reason"))
 
 
 def variable_drift(settings: DataFrame) -> DataFrame:
@@ -127,18 +135,38 @@ SPARK_TYPES = {
 }
 
 
+_ARRAY = re.compile(r"ARRAY\s*<(.+)>$", re.IGNORECASE)
+
+
 def spark_type(type_text: str) -> str:
-    """Spark type of a canonical table type; VARCHAR and DECIMAL keep their numbers."""
+    """Spark type of a canonical table type; DECIMAL keeps its numbers, `text_limit` has those of texts."""
     base = type_text.upper().strip()
     if base.startswith(("VARCHAR", "CHAR")):
         return "string"
     if base.startswith("DECIMAL"):
         return base.lower().replace(" ", "")
+    if array := _ARRAY.match(base):
+        return f"array<{spark_type(array[1])}>"
     if base not in SPARK_TYPES:
         raise ValueError(f"no Spark type for {type_text!r}")
     return SPARK_TYPES[base]
 
 
+def text_limit(type_text: str) -> int | None:
+    """n of VARCHAR(n) or CHAR(n), also inside an ARRAY."""
+    found = re.search(r"\b(?:VAR)?CHAR\s*\(\s*(\d+)\s*\)", type_text.upper())
+    return int(found[1]) if found else None
+
+
+def _converted(df: DataFrame, name: str, type_text: str) -> Column:
+    """The column in its new type; null where a value does not cast or is too long."""
+    value, limit = cast_or_null(F.col(name), df.schema[name].dataType, spark_type(type_text)), text_limit(type_text)
+    if limit is None:
+        return value
+    fits = F.forall(value, lambda x: F.coalesce(F.length(x) <= limit, F.lit(True))) if _ARRAY.match(type_text.strip()) else F.length(value) <= limit
+    return F.when(fits, value)
+
+
 def typed_changes(changes: DataFrame) -> list[dict]:
     """The change rows of one table, in column order.
 
@@ -152,14 +180,15 @@ def typed_changes(changes: DataFrame) -> list[dict]:
 def apply_schema_change(df: DataFrame, changes: list[dict]) -> DataFrame:
     """The data after the changes: one projection, so the scan reads kept columns only.
 
-    A value that does not fit a new type becomes null; `cast_failures` counts them.
+    A value that does not fit a new type, or is longer than VARCHAR(n) allows, becomes
+    null; `cast_failures` counts them.
     """
     dropped = {c["name"] for c in changes if c["kind"] == "DROP"}
-    modified = {c["name"]: spark_type(c["type"]) for c in changes if c["kind"] == "MODIFY"}
+    modified = {c["name"]: c["type"] for c in changes if c["kind"] == "MODIFY"}
     columns = []
     for name in df.columns:
         if name in modified:
-            columns.append(cast_or_null(F.col(name), df.schema[name].dataType, modified[name]).alias(name))
+            columns.append(_converted(df, name, modified[name]).alias(name))
         elif name not in dropped:
             columns.append(F.col(name))
     for c in changes:
@@ -168,12 +197,26 @@ def apply_schema_change(df: DataFrame, changes: list[dict]) -> DataFrame:
     return df.select(*columns)
 
 
+def write_version(df: DataFrame, table: str, changes: list[dict]) -> DataFrame:
+    """Stage the changed data as the table's next version and read it.
+
+    A version is a folder below ``table``; it counts only when its write has committed,
+    so a failed rewrite leaves the last one as it was.
+    """
+    path = f"{table}/version-{uuid.uuid4().hex}"
+    changed = apply_schema_change(df, changes)
+    changed.write.parquet(path)
+    return df.sparkSession.read.schema(changed.schema).parquet(path)
+
+
 def cast_failures(df: DataFrame, changes: list[dict]) -> DataFrame:
     """Per modified column: values, and values the new type cannot hold."""
-    modified = {c["name"]: spark_type(c["type"]) for c in changes if c["kind"] == "MODIFY"}
+    modified = {c["name"]: c["type"] for c in changes if c["kind"] == "MODIFY"}
+    if not modified:
+        return df.sparkSession.createDataFrame([], "column_name string, n_values bigint, n_lost bigint")
     sums = []
     for name, type_ in modified.items():
-        lost = F.col(name).isNotNull() & cast_or_null(F.col(name), df.schema[name].dataType, type_).isNull()
+        lost = F.col(name).isNotNull() & _converted(df, name, type_).isNull()
         sums += [F.count(name).alias(f"{name}_n"), F.count_if(lost).alias(f"{name}_lost")]
     totals = df.agg(*sums)
     cells = [F.struct(F.lit(n).alias("column_name"), F.col(f"{n}_n").alias("n_values"), F.col(f"{n}_lost").alias("n_lost")) for n in modified]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -14,9 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-QUERY_BLOCK = 256  # queries held by one task
-VECTOR_BLOCK = 65_536  # vectors scored at once where the queries are shuffled
-SCORE_DIGITS = 4
+from ..session import cut_lineage
+
+QUERY_BLOCK = 256  # queries that travel with a task
+TIE_DIGITS = 12  # scores that differ less are ties: sums of products are no more exact
 
 
 def label_centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:
@@ -31,8 +35,8 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def _best(ids: np.ndarray, vectors: np.ndarray, query_ids, queries: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest of one block per query, by rounded score and then id."""
-    scores = np.round(_unit(vectors) @ queries.T, SCORE_DIGITS)
+    """The k nearest of one block per query, by score and then id."""
+    scores = np.round(_unit(vectors) @ queries.T, TIE_DIGITS)
     floor = np.partition(scores, len(ids) - k, axis=0)[len(ids) - k] if len(ids) > k else scores.min(axis=0)
     kept = []
     for j, query_id in enumerate(query_ids):
@@ -56,22 +60,30 @@ def _ranked(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def nearest(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, query_block: int = QUERY_BLOCK) -> DataFrame:
+def _blocks(queries: DataFrame) -> Iterator[list]:
+    """The queries in blocks of some ``QUERY_BLOCK`` rows, one at a time on the driver."""
+    written = cut_lineage(queries.select("query_id", "query").filter("query IS NOT NULL"))
+    parts = -(-written.count() // QUERY_BLOCK)
+    for k in range(parts):
+        held = written.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k).collect()
+        if held:
+            yield held
+
+
+def nearest(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
     """Exact k nearest vectors by cosine of each (query_id, query).
 
-    Each task scores its vectors as one matrix product and keeps k per query, so the
-    shuffle carries tasks × queries × k rows. Up to one block of queries travels with
-    the task; more than that are joined block by block.
+    The queries travel with the tasks, block after block; for each block every task
+    scores its vectors as one matrix product and keeps k per query, so the shuffle
+    carries tasks × queries × k rows.
     """
     source = vectors.select(F.col(key).alias("id"), F.col(vector).alias("vector")).filter("vector IS NOT NULL")
     id_type = source.schema["id"].dataType
     query_type = queries.schema["query_id"].dataType
     schema = T.StructType([T.StructField("query_id", query_type), T.StructField("id", id_type), T.StructField("score", T.DoubleType())])
-    held = queries.select("query_id", "query").limit(query_block + 1).collect()
-    if not held:
-        return _ranked(vectors.sparkSession.createDataFrame([], schema), k)
-    if len(held) <= query_block:
-        arrow_schema = to_arrow_schema(schema)
+    arrow_schema = to_arrow_schema(schema)
+
+    def scored(held: list) -> DataFrame:
         query_ids = [r.query_id for r in held]
         matrix = _unit(_matrix([r.query for r in held]))
 
@@ -87,45 +99,47 @@ def nearest(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: in
             if best is not None:
                 yield pa.RecordBatch.from_pandas(best, schema=arrow_schema, preserve_index=False)
 
-        return _ranked(source.mapInArrow(score, schema), k)
+        return source.mapInArrow(score, schema)
 
-    n_queries, n_vectors = queries.count(), source.count()
-    query_blocks = -(-n_queries // query_block)
-    vector_blocks = max(1, -(-n_vectors // VECTOR_BLOCK))
-    every_query_block = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
-    every_vector_block = F.explode(F.sequence(F.lit(0), F.lit(vector_blocks - 1)))
-    left = source.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(vector_blocks)).cast("int")).withColumn("qb", every_query_block)
-    right = queries.select("query_id", "query").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
-    right = right.withColumn("vb", every_vector_block)
+    parts = [scored(held) for held in _blocks(queries)]
+    return _ranked(reduce(DataFrame.unionByName, parts) if parts else vectors.sparkSession.createDataFrame([], schema), k)
 
-    def score_block(vector_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
-        if vector_rows.empty or query_rows.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        queries_here = _unit(_matrix(query_rows["query"]))
-        return _best(vector_rows["id"].to_numpy(), _matrix(vector_rows["vector"]), list(query_rows["query_id"]), queries_here, k)
 
-    scored = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(score_block, schema)
-    return _ranked(scored, k)
+def _sign_codes(df: DataFrame, vector: str, planes: np.ndarray) -> DataFrame:
+    """``df`` with ``codes``: for each table, on which sides of its planes the vector lies, as bits."""
+    bits = 1 << np.arange(planes.shape[1])
+    schema = T.StructType([*df.schema.fields, T.StructField("codes", T.ArrayType(T.LongType()))])
+
+    def code(batches):
+        for batch in batches:
+            rows = _arrow_matrix(batch.column(vector)) if batch.num_rows else np.zeros((0, planes.shape[2]))
+            codes = ((np.einsum("nd,tbd->ntb", rows, planes) > 0) @ bits).tolist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.list_(pa.int64()))], schema.fieldNames())
+
+    return df.mapInArrow(code, schema)
 
 
-def nearest_lsh(
-    vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, radius: float, bucket: float = 2.0, tables: int = 6, seed: int = 7
-) -> DataFrame:
-    """Approximate k nearest: random-projection buckets, then the distance.
+def nearest_lsh(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, bits: int = 12, tables: int = 24, flips: int = 2, seed: int = 7) -> DataFrame:
+    """Approximate k nearest by cosine: sign hashes, then the exact score of what they find.
 
-    On unit vectors Euclidean and cosine order agree; ``radius`` bounds the distance.
+    A table's code tells on which sides of ``bits`` random planes a vector lies. A query
+    looks into the buckets of its code and of all codes up to ``flips`` bits away. More
+    bits make the buckets smaller, more tables and flips find more. A zero vector scores
+    0; null vectors and queries are left out. The dimension is read from one row.
     """
-    def unit(column):
-        norm = F.sqrt(F.aggregate(column, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-        return array_to_vector(F.transform(column, lambda x: x.cast("double") / norm))
-
-    base = vectors.select(F.col(key).alias("id"), unit(F.col(vector)).alias("v"))
-    asked = queries.select("query_id", unit(F.col("query")).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(base)
-    pairs = model.approxSimilarityJoin(base, asked, radius, distCol="dist")
-    scored = pairs.select(
-        F.col("datasetB.query_id").alias("query_id"),
-        F.col("datasetA.id").alias("id"),
-        F.round(1 - F.col("dist") * F.col("dist") / 2, SCORE_DIGITS).alias("score"),
-    )
+    base = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).filter("v IS NOT NULL")
+    asked = cut_lineage(queries.select("query_id", F.col("query").alias("q")).filter("q IS NOT NULL"))
+    first = base.select(F.size("v").alias("n")).first()
+    planes = np.random.default_rng(seed).standard_normal((tables, bits, first.n if first else 1))
+    masks = [sum(1 << b for b in some) for n in range(flips + 1) for some in combinations(range(bits), n)]
+    near = F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("code").bitwiseXOR(m.cast("long")))
+    probes = _sign_codes(asked, "q", planes).select("query_id", F.posexplode("codes").alias("table", "code")).select("query_id", "table", F.explode(near).alias("code"))
+    placed = _sign_codes(base, "v", planes).select("id", F.posexplode("codes").alias("table", "code"))
+    found = placed.join(probes, ["table", "code"]).select("query_id", "id").distinct()
+
+    def dot(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+    norm = F.sqrt(dot("v", "v")) * F.sqrt(dot("q", "q"))
+    scored = found.join(base, "id").join(asked, "query_id").select("query_id", "id", F.round(F.when(norm > 0, dot("v", "q") / norm).otherwise(0.0), TIE_DIGITS).alias("score"))
     return _ranked(scored, k)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import digest, quota_bytes
@@ -89,7 +90,14 @@ def concurrency_peaks(grouped_log: DataFrame, groups: DataFrame) -> DataFrame:
     profile = interval_profile(with_end(grouped_log), ["rg_name"], "ts_start", "ts_end")
     after = F.col("run_started") - F.col("run_ended")
     before = after - F.col("started") + F.col("ended")
-    peaks = profile.groupBy("rg_name", F.to_date("instant").alias("day")).agg(F.max(F.greatest(after, before)).alias("peak"))
+    peaks = profile.groupBy("rg_name", F.to_date("instant").alias("day")).agg(
+        F.max(F.greatest(after, before)).alias("peak"), F.max_by(after, "instant").alias("at_end")
+    )
+    # Days on which queries run but none starts or ends lie between two of these.
+    following = F.lead("day").over(W.partitionBy("rg_name").orderBy("day"))
+    between = peaks.withColumn("next_day", following).filter("at_end > 0 AND next_day > date_add(day, 1)")
+    idle = between.select("rg_name", F.explode(F.sequence(F.date_add("day", 1), F.date_sub("next_day", 1))).alias("day"), F.col("at_end").alias("peak"))
+    peaks = peaks.drop("at_end").unionByName(idle)
     limits = groups.select("rg_name", F.nullif(F.col("concurrency_limit"), F.lit(0)).alias("concurrency_limit"))
     over = F.coalesce(F.col("peak") > F.col("concurrency_limit"), F.lit(False))
     return peaks.join(limits, "rg_name", "left").withColumn("over_limit", over)
@@ -103,12 +111,15 @@ def overlap_counts(log: DataFrame, keys: list[str]) -> DataFrame:
     grow with the square of that user's queries. A query of no duration overlaps
     nothing.
     """
-    timed = with_end(log).filter("ts_end > ts_start")
+    ended = with_end(log)
+    timed = ended.filter("ts_end > ts_start")
     profile = cut_lineage(interval_profile(timed, keys, "ts_start", "ts_end"))  # joined twice
     at_start = profile.select(*keys, F.col("instant").alias("ts_start"), F.col("run_ended").alias("ended"))
     at_end = profile.select(*keys, F.col("instant").alias("ts_end"), F.col("started_before"))
     counted = timed.join(at_start, [*keys, "ts_start"]).join(at_end, [*keys, "ts_end"])
-    return counted.withColumn("n_overlapping", F.col("started_before") - F.col("ended") - 1).drop("started_before", "ended")
+    counted = counted.withColumn("n_overlapping", F.col("started_before") - F.col("ended") - 1).drop("started_before", "ended")
+    rest = ended.filter("ts_end > ts_start IS NOT TRUE").withColumn("n_overlapping", F.lit(0).cast("bigint"))
+    return counted.unionByName(rest)
 
 
 def digest_stats(log: DataFrame) -> DataFrame:

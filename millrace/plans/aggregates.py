@@ -118,12 +118,12 @@ def bucket_skew(t):
     return quality.bucket_skew(t["audit"], "query_id", 8)
 
 
-PROFILED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+PROFILED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
 def _profile_sql(column):
     return f"""SELECT '{column}' AS column_name, count(*) AS n_rows, count(*) - count({column}) AS n_null, count(DISTINCT {column}) AS n_distinct,
-  min(CAST({column} AS VARCHAR)) AS min_value, max(CAST({column} AS VARCHAR)) AS max_value, CAST(max(length(CAST({column} AS VARCHAR))) AS INTEGER) AS max_length,
+  CAST(min({column}) AS VARCHAR) AS min_value, CAST(max({column}) AS VARCHAR) AS max_value, CAST(max(length(CAST({column} AS VARCHAR))) AS INTEGER) AS max_length,
   count(DISTINCT {column}) >= 100 AND count(DISTINCT {column}) >= count(*) * 0.0001 AS bitmap_fit FROM orders"""
 
 
@@ -196,22 +196,17 @@ FROM (VALUES ('AND'), ('OR')) AS o(op), (VALUES ('error'), ('view'), ('click'),
 
 
 @query("bitmap_index", f"""
-SELECT l.lookup, l.op, count(*) AS n_rows FROM ({LOOKUPS}) AS l, (SELECT event_type, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS parity FROM events) AS e
-WHERE CASE WHEN l.op = 'AND' THEN e.event_type = l.kind AND e.parity = l.parity ELSE e.event_type = l.kind OR e.parity = l.parity END GROUP BY 1, 2
+SELECT l.lookup, l.op, count(*) FILTER (WHERE CASE WHEN l.op = 'AND' THEN e.event_type = l.kind AND e.parity = l.parity ELSE e.event_type = l.kind OR e.parity = l.parity END) AS n_rows
+FROM ({LOOKUPS}) AS l, (SELECT event_type, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS parity FROM events) AS e GROUP BY 1, 2
 """)
 def bitmap_index(t):
-    parity = F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd")
-    index = search.bitmap_index(t["events"].withColumn("parity", parity), "event_id", ["event_type", "parity"])
-    terms = F.explode(F.array(
-        F.struct(F.lit("event_type").alias("attribute"), F.col("kind").alias("value")),
-        F.struct(F.lit("parity").alias("attribute"), F.col("parity").alias("value")),
-    ))
-    lookups = t.spark.createDataFrame(
-        [(f"{op}:{kind}:{parity}", op, kind, parity) for op in ("AND", "OR")
-         for kind in ("error", "view", "click", "signup", "purchase") for parity in ("even", "odd")],
-        "lookup string, op string, kind string, parity string",
-    ).select("lookup", "op", terms.alias("t")).select("lookup", "op", "t.*")
-    return search.bitmap_lookup(index, lookups)
+    """What a bitmap of each value would be counted for: the rows under AND and OR of two values."""
+    lookups = {}
+    for kind in ("error", "view", "click", "signup", "purchase"):
+        for parity, rest in (("even", 0), ("odd", 1)):
+            a, b = F.col("event_type") == kind, F.col("user_id") % 2 == rest
+            lookups |= {f"AND:{kind}:{parity}": ("AND", a & b), f"OR:{kind}:{parity}": ("OR", a | b)}
+    return search.count_lookups(t["events"], lookups)
 
 
 @query("state_pivot", """

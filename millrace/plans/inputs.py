@@ -56,7 +56,8 @@ SELECT * FROM (VALUES
   (2, 'rg_select',  CAST(NULL AS STRING), 'analyst',            'query',              CAST(NULL AS STRING), 'analytics'),
   (3, 'rg_metrics', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), 'metrics'),
   (4, 'rg_select',  'u7',                 CAST(NULL AS STRING), 'slow_query',         CAST(NULL AS STRING), CAST(NULL AS STRING)),
-  (5, 'rg_metrics', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), '10.0.1.1',           CAST(NULL AS STRING))
+  (5, 'rg_metrics', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), '10.0.1.1',           CAST(NULL AS STRING)),
+  (6, 'rg_admin',   CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING))
 ) AS t(classifier_id, rg_name, user_name, role_name, query_type, source_ip, db)
 """
 
@@ -141,13 +142,20 @@ FROM customer
 DERIVED["table_specs"] = """
 SELECT p_partkey AS table_id, 't' || CAST(p_partkey AS STRING) AS old_name,
   CASE WHEN p_partkey % 50 = 0 THEN 'renamed_' ELSE 't' END || CAST(p_partkey AS STRING) AS new_name,
+  'analytics' AS old_database, CASE WHEN p_partkey % 53 = 0 THEN 'metrics' ELSE 'analytics' END AS new_database,
   CASE WHEN p_partkey % 29 = 0 THEN CAST(NULL AS STRING) ELSE 'DUPLICATE KEY' END AS old_key_type,
   CASE WHEN p_partkey % 31 = 0 THEN 'PRIMARY KEY' ELSE 'DUPLICATE KEY' END AS new_key_type,
+  'id' AS old_key_columns, CASE WHEN p_partkey % 37 = 0 THEN 'id,ts' ELSE 'id' END AS new_key_columns,
+  CASE WHEN p_partkey % 7 = 0 THEN CAST(NULL AS STRING) ELSE 'PARTITION BY date_trunc(''day'', ts)' END AS old_partition,
+  CASE WHEN p_partkey % 41 = 0 THEN 'PARTITION BY date_trunc(''month'', ts)' ELSE 'PARTITION BY date_trunc(''day'', ts)' END AS new_partition,
   CASE WHEN p_partkey % 9 = 0 THEN '' ELSE 'DISTRIBUTED BY HASH(id) BUCKETS 4' END AS old_dist,
   'DISTRIBUTED BY HASH(`id`) BUCKETS 4' AS server_dist,
+  CASE WHEN p_partkey % 9 = 0 THEN 'DISTRIBUTED BY HASH(`id`) BUCKETS 4' WHEN p_partkey % 43 = 0 THEN 'DISTRIBUTED BY HASH(id) BUCKETS 8' ELSE 'DISTRIBUTED BY HASH(id) BUCKETS 4' END AS new_dist,
+  'replication_num=3' AS old_properties, CASE WHEN p_partkey % 47 = 0 THEN 'replication_num=1' ELSE 'replication_num=3' END AS new_properties,
   CASE WHEN p_partkey % 17 = 0 THEN 'old comment' ELSE p_name END AS old_comment, p_name AS new_comment,
   CASE WHEN p_partkey % 19 = 0 THEN CAST(NULL AS STRING) ELSE 'MYSQL' END AS old_engine,
-  CASE WHEN p_partkey % 23 = 0 THEN '' ELSE 'OLAP' END AS server_engine
+  CASE WHEN p_partkey % 23 = 0 THEN '' ELSE 'OLAP' END AS server_engine,
+  CASE WHEN p_partkey % 59 = 0 THEN 'OLAP' ELSE 'MYSQL' END AS new_engine
 FROM part
 """
 
@@ -235,7 +243,8 @@ SELECT query_id, rg_name FROM (
       + CASE WHEN c.query_type IS NULL THEN 0 ELSE 1 END + CASE WHEN c.source_ip IS NULL THEN 0 ELSE 1 END
       + CASE WHEN c.db IS NULL THEN 0 ELSE 1 END DESC, c.classifier_id) AS rn
   FROM audit a LEFT JOIN classifiers c
-    ON (c.user_name IS NULL OR c.user_name = a.user_name) AND (c.role_name IS NULL OR c.role_name = a.role_name)
+    ON coalesce(c.user_name, c.role_name, c.query_type, c.source_ip, c.db) IS NOT NULL
+   AND (c.user_name IS NULL OR c.user_name = a.user_name) AND (c.role_name IS NULL OR c.role_name = a.role_name)
    AND (c.query_type IS NULL OR c.query_type = a.query_type) AND (c.source_ip IS NULL OR c.source_ip = a.client_ip)
    AND (c.db IS NULL OR c.db = a.db)) AS m WHERE rn = 1
 """,
@@ -251,7 +260,7 @@ SELECT table_id, name, kind, d_ord, a_ord, new_type, new_nullable, new_dflt, new
 WHERE kind IS NOT NULL
 """,
     "terms": r"""
-SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents
+SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents
 """,
     "chars": "SELECT doc_id, lower(text) AS t, length(lower(text)) AS n FROM documents",
     "grams": """
@@ -266,6 +275,11 @@ def _mentions(sql: str, names) -> list[str]:
     return [n for n in names if n in words]
 
 
+def placed(sql: str, names: list[str]) -> str:
+    """The SQL with the named tables as parameters, so that no view of the caller's session is touched."""
+    return re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(names)})\b", r"\1 {\2}", sql) if names else sql
+
+
 def inline(sql: str) -> str:
     """Prefix the SQL with a WITH list of the derived inputs it names."""
     every = {**DERIVED, **ORACLE_VIEWS}
@@ -303,11 +317,9 @@ class Inputs:
         return self.spark.read.parquet(self.path(name))
 
     def spread(self, name: str, key: str) -> DataFrame:
-        """A given table for CPU-heavy work: over all cores where its scan has fewer splits."""
-        df, cores = self[name], self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+        """A given table for CPU-heavy work, dealt over the shuffle partitions by its key."""
+        return self[name].repartition(key)
 
     def sql(self, text: str) -> DataFrame:
-        for name in _mentions(text, BASE):
-            self[name].createOrReplaceTempView(name)
-        return self.spark.sql(text)
+        names = _mentions(text, BASE)
+        return self.spark.sql(placed(text, names), **{n: self[n] for n in names})

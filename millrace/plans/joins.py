@@ -8,7 +8,7 @@ from ..functions.text import prefer_recorded
 from ..operators import ordered, schema, workload
 from .registry import query
 
-RECORDED = [("old_name", "new_name"), ("old_key_type", "new_key_type"), ("recorded_dist", "wanted_dist")]
+REPLACING = ["database", "name", "engine", "key_type", "key_columns", "partition", "dist", "properties"]
 
 
 def grouped_log(t):
@@ -22,19 +22,19 @@ def column_diff(t):
 
 
 @query("replacement_plan", """
+WITH specs AS (SELECT *, coalesce(nullif(old_dist, ''), nullif(server_dist, ''), '') AS recorded_dist FROM table_specs)
 SELECT s.table_id, CASE
-    WHEN s.old_name IS DISTINCT FROM s.new_name AND s.old_name IS NOT NULL THEN 'REPLACE'
-    WHEN s.old_key_type IS DISTINCT FROM s.new_key_type AND s.old_key_type IS NOT NULL THEN 'REPLACE'
+    WHEN s.old_database <> s.new_database OR s.old_name <> s.new_name OR s.old_engine <> s.new_engine OR s.old_key_type <> s.new_key_type
+      OR s.old_key_columns <> s.new_key_columns OR s.old_partition <> s.new_partition OR s.recorded_dist <> s.new_dist OR s.old_properties <> s.new_properties THEN 'REPLACE'
     WHEN s.old_comment IS DISTINCT FROM s.new_comment OR coalesce(c.n, 0) > 0 THEN 'IN_PLACE' ELSE 'NO_OP' END AS plan,
   coalesce(c.n, 0) AS n_changes
-FROM table_specs s LEFT JOIN (SELECT table_id, count(*) AS n FROM column_changes GROUP BY 1) AS c ON c.table_id = s.table_id
+FROM specs s LEFT JOIN (SELECT table_id, count(*) AS n FROM column_changes GROUP BY 1) AS c ON c.table_id = s.table_id
 """)
 def replacement_plan(t):
-    recorded = prefer_recorded(F.col("old_dist"), F.col("server_dist"))
-    # The wanted clause is the recorded one: a re-quoted server clause is no change.
-    specs = t["table_specs"].withColumns({"recorded_dist": recorded, "wanted_dist": recorded})
+    """The recorded distribution is the one a user wrote, if any: a re-quoted server clause is no change."""
+    specs = t["table_specs"].withColumn("old_dist", prefer_recorded(F.col("old_dist"), F.col("server_dist")))
     changes = schema.column_diff(t["desired_columns"], t["actual_columns"])
-    return schema.replacement_plan(specs, changes, RECORDED, [("old_comment", "new_comment")])
+    return schema.replacement_plan(specs, changes, [(f"old_{a}", f"new_{a}") for a in REPLACING], [("old_comment", "new_comment")])
 
 
 TABLE_NAMES = "SELECT p_partkey AS table_id, 't' || CAST(p_partkey AS STRING) AS name FROM part"

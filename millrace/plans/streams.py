@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import workdir
 from ..streaming import operators as st
-from .inputs import DERIVED
+from .inputs import DERIVED, placed
 from .keymodels import EVENT_DAYS, FEED_ORDER, LAST_CHANGE, VIEWS, event_measures, feed_order
 from .registry import query
 
@@ -17,15 +17,27 @@ def plain_times(df, *columns):
 
 def derived_stream(t, name, base):
     """A derived input over the stream of its base table."""
-    st.read_stream(t.spark, t.path(base)).createOrReplaceTempView(base)
-    return t.spark.sql(DERIVED[name])
+    return t.spark.sql(placed(DERIVED[name], [base]), **{base: st.read_stream(t.spark, t.path(base))})
+
+
+SLICES = 3
+
+
+def sliced_events(t, work):
+    """The events as files in time order, one per micro-batch."""
+    bounds = t["events"].select(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [k / SLICES for k in range(1, SLICES)])).first()[0]
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    place = sum((F.when(at >= b, 1).otherwise(0) for b in bounds or []), F.lit(0))
+    for k in range(SLICES):
+        t["events"].filter(F.coalesce(place, F.lit(0)) == k).coalesce(1).write.mode("append").parquet(f"{work}/in")
+    return st.read_stream(t.spark, f"{work}/in", files_per_batch=1)
 
 
 @query("stream_dedup", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def stream_dedup(t):
     """Every event is sent twice."""
     work = workdir(t.spark, "stream-dedup")
-    sent = st.read_stream(t.spark, t.path("events")).unionByName(st.read_stream(t.spark, t.path("events")))
+    sent = sliced_events(t, f"{work}/a").unionByName(sliced_events(t, f"{work}/b"))
     st.drain(st.unique_rows(sent, "event_id", "ts", "1 hour"), f"{work}/out", f"{work}/checkpoint")
     return plain_times(t.spark.read.parquet(f"{work}/out"), "ts")
 
@@ -40,9 +52,10 @@ def stream_upsert(t):
 SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n_rows FROM events GROUP BY 1, 2, 3
 """)
 def stream_tumbling(t):
-    events = st.read_stream(t.spark, t.path("events"))
+    work = workdir(t.spark, "stream-tumbling")
+    events = sliced_events(t, work)
     closed = st.run_closed(
-        t.spark, events, workdir(t.spark, "stream-tumbling"), "ts",
+        t.spark, events, work, "ts",
         lambda s: st.windowed_counts(s, "ts", "1 hour", "1 hour", None, ["event_type"]),
     )
     return plain_times(closed, "window_start", "window_end")
@@ -53,9 +66,10 @@ SELECT w AS window_start, w + INTERVAL 1 HOUR AS window_end, event_type, count(*
 FROM (SELECT event_type, unnest([time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(15 * k) FOR k IN range(4)]) AS w FROM events) AS e GROUP BY 1, 2, 3
 """)
 def stream_sliding(t):
-    events = st.read_stream(t.spark, t.path("events"))
+    work = workdir(t.spark, "stream-sliding")
+    events = sliced_events(t, work)
     closed = st.run_closed(
-        t.spark, events, workdir(t.spark, "stream-sliding"), "ts",
+        t.spark, events, work, "ts",
         lambda s: st.windowed_counts(s, "ts", "1 hour", "1 hour", "15 minutes", ["event_type"]),
     )
     return plain_times(closed, "window_start", "window_end")
@@ -67,9 +81,10 @@ numbered AS (SELECT *, sum(g) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUN
 SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_rows FROM numbered GROUP BY user_id, s
 """)
 def stream_sessions(t):
-    events = st.read_stream(t.spark, t.path("events"))
+    work = workdir(t.spark, "stream-sessions")
+    events = sliced_events(t, work)
     closed = st.run_closed(
-        t.spark, events, workdir(t.spark, "stream-sessions"), "ts",
+        t.spark, events, work, "ts",
         lambda s: st.session_counts(s, "ts", "1 hour", "6 hours", ["user_id"]),
     )
     return plain_times(closed, "session_start", "session_end")
@@ -89,18 +104,28 @@ def stream_late_rows(t):
 
 
 @query("stream_job_monitor", """
-SELECT job_id, CASE state WHEN 'FINISHED' THEN 'finished' WHEN 'CANCELLED' THEN 'cancelled' ELSE 'timed_out' END AS outcome,
-  ts + to_seconds(CASE WHEN state IN ('FINISHED', 'CANCELLED') THEN 0 ELSE greatest(300 - elapsed_s, 0) END) AS decided_at FROM alter_jobs
+SELECT job_id, CASE WHEN state = 'FINISHED' AND ended <= deadline THEN 'finished' WHEN state = 'CANCELLED' AND ended <= deadline THEN 'cancelled' ELSE 'timed_out' END AS outcome,
+  CASE WHEN state IN ('FINISHED', 'CANCELLED') AND ended <= deadline THEN ended ELSE deadline END AS decided_at
+FROM (SELECT job_id, state, ts + to_seconds(elapsed_s) AS ended, ts + to_seconds(300) AS deadline FROM alter_jobs) AS j
 """)
 def stream_job_monitor(t):
+    """Each job reports when it starts, while it runs, and how it stands after its elapsed time."""
     jobs = derived_stream(t, "alter_jobs", "orders")
+    after = F.array(
+        F.struct(F.lit(0).alias("s"), F.lit("PENDING").alias("state")),
+        F.struct(F.floor(F.col("elapsed_s") / 2).cast("int").alias("s"), F.lit("RUNNING").alias("state")),
+        F.struct(F.col("elapsed_s").cast("int").alias("s"), F.col("state")),
+    )
+    reports = jobs.select("job_id", "ts", F.explode(after).alias("r")).select(
+        "job_id", F.timestamp_micros(F.unix_micros("ts") + F.col("r.s").cast("long") * 1_000_000).alias("ts"), F.col("r.s").alias("elapsed_s"), "r.state"
+    )
     closed = st.run_closed(
-        t.spark, jobs, workdir(t.spark, "stream-jobs"), "ts", lambda s: st.monitor_jobs(s, "ts", "1 hour", 0)
+        t.spark, reports, workdir(t.spark, "stream-jobs"), "ts", lambda s: st.monitor_jobs(s, "ts", "1 hour", 0)
     )
     return plain_times(closed, "decided_at")
 
 
 @query("stream_aggregate_key", EVENT_DAYS)
 def stream_aggregate_key(t):
-    events = event_measures(st.read_stream(t.spark, t.path("events")))
-    return st.aggregate_stream(events, workdir(t.spark, "stream-aggregate"), ["day", "event_type"], VIEWS)
+    work = workdir(t.spark, "stream-aggregate")
+    return st.aggregate_stream(event_measures(sliced_events(t, work)), work, ["day", "event_type"], VIEWS)

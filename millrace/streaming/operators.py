@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,43 +92,71 @@ def split_late(stream: DataFrame, work: str, at: str, delay: str) -> None:
     spark = stream.sparkSession
 
     def apply(batch, batch_id):
-        peak = batch.agg(F.max(at).alias("latest"))
-        if batch_id == 0:
-            tagged = batch.withColumn("late", F.lit(False))
-        else:
-            seen = spark.read.parquet(f"{work}/seen").filter(F.col("batch_id") < batch_id)
-            latest = seen.agg(F.max("latest").alias("latest")).first()["latest"]  # one value
-            tagged = batch.withColumn("late", F.col(at) < F.lit(latest) - F.expr(f"INTERVAL {delay}"))
+        latest = None
+        if batch_id:  # one value: the latest time of all earlier batches
+            latest = spark.read.parquet(f"{work}/seen/batch_id={batch_id - 1}").first()["latest"]
+        before = F.lit(latest).cast(batch.schema[at].dataType)
+        tagged = batch.withColumn("late", F.coalesce(F.col(at) < before - F.expr(f"INTERVAL {delay}"), F.lit(False)))
         write_batch(tagged, f"{work}/rows", batch_id)
-        write_batch(peak, f"{work}/seen", batch_id)
+        write_batch(batch.agg(F.greatest(F.max(at), before).alias("latest")), f"{work}/seen", batch_id)
 
     drain_batches(stream, apply, f"{work}/checkpoint")
 
 
-def monitor_jobs(stream: DataFrame, at: str, delay: str, limit_s: int) -> DataFrame:
-    """(job_id, outcome, decided_at): a terminal report at once, else a time-out at its limit.
+def monitor_jobs(stream: DataFrame, at: str, delay: str, limit_s: int, remember_s: int = 7 * 86_400) -> DataFrame:
+    """(job_id, outcome, decided_at): one outcome per job, the first of a terminal report and its time limit.
 
-    Each report opens a span from its time to the end of the job's limit; the spans of
-    a job merge, and state ends with the span. A span that closes without a terminal
-    report has timed out.
+    A job's limit runs out ``limit_s`` after its start, which each report tells by its time
+    and the seconds elapsed; the earliest counts. Decided jobs are remembered for
+    ``remember_s``, so later reports do not decide them again. Reports without an id or
+    a time are left out.
     """
     limit = limit_s if limit_s > 0 else 300
-    terminal = F.upper("state").isin(list(JOB_OUTCOMES))
     left = F.greatest(F.lit(limit) - F.col("elapsed_s"), F.lit(0))
-    reports = stream.withWatermark(at, delay).withColumns({
-        "terminal": terminal,
-        "deadline": F.timestamp_micros(F.unix_micros(at) + left * 1_000_000),
-    })
-    # Naming the event time keeps this filter above the watermark, which all rows move.
-    ended = reports.filter(F.when(F.col(at).isNotNull(), F.col("terminal"))).dropDuplicatesWithinWatermark(["job_id"])
-    ended = ended.select("job_id", F.lower("state").alias("outcome"), F.col(at).alias("decided_at"))
-    # A span must have some length, also for the report that ends it.
-    gap = F.when(F.col("terminal") | (left == 0), "1 millisecond").otherwise(F.concat(left.cast("string"), F.lit(" seconds")))
-    spans = reports.groupBy("job_id", F.session_window(at, gap)).agg(
-        F.bool_or("terminal").alias("ended"), F.min("deadline").alias("decided_at")
+    reports = stream.withWatermark(at, delay).select(
+        "job_id", at, F.unix_micros(at).alias("micros"), (F.unix_micros(at) + left * 1_000_000).alias("deadline"),
+        F.when(F.upper("state").isin(list(JOB_OUTCOMES)), F.lower("state")).alias("terminal"),
+    )
+    id_type = stream.schema["job_id"].dataType.simpleString()
+
+    def settle(key, batches, state):
+        if state.hasTimedOut:
+            decided, _, deadline = state.get
+            if decided:
+                state.remove()
+                return
+            yield from close(key, state, "timed_out", deadline)
+            return
+        decided, outcome, deadline = state.get if state.exists else (False, None, None)
+        ended = None
+        for rows in batches:
+            rows = rows[rows["micros"].notna()]
+            if not len(rows):
+                continue
+            deadline = min(int(rows["deadline"].min()), deadline if deadline is not None else int(rows["deadline"].min()))
+            done = rows[rows["terminal"].notna()].sort_values(["micros", "terminal"])
+            if len(done):
+                first = (int(done["micros"].iloc[0]), done["terminal"].iloc[0])
+                ended = first if ended is None else min(ended, first)
+        if decided or deadline is None or key[0] is None:
+            return
+        if ended and ended[0] <= deadline:
+            yield from close(key, state, ended[1], ended[0])
+        elif ended or deadline // 1000 <= state.getCurrentWatermarkMs():
+            yield from close(key, state, "timed_out", deadline)
+        else:
+            state.update((False, None, deadline))
+            state.setTimeoutTimestamp(deadline // 1000 + 1)
+
+    def close(key, state, outcome, micros):
+        state.update((True, outcome, micros))
+        state.setTimeoutTimestamp(max(micros // 1000, state.getCurrentWatermarkMs()) + remember_s * 1000)
+        yield pd.DataFrame({"job_id": [key[0]], "outcome": [outcome], "decided_us": [micros]})
+
+    settled = reports.groupBy("job_id").applyInPandasWithState(
+        settle, f"job_id {id_type}, outcome string, decided_us long", "decided boolean, outcome string, micros long", "append", "EventTimeTimeout"
     )
-    timed_out = spans.filter("NOT ended").select("job_id", F.lit("timed_out").alias("outcome"), "decided_at")
-    return ended.unionByName(timed_out)
+    return settled.select("job_id", "outcome", F.timestamp_micros("decided_us").alias("decided_at"))
 
 
 __all__ = [

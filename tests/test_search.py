@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from millrace.functions.grams import text_grams, with_grams
 from millrace.operators import search, vectors
 from millrace.plans import QUERIES
-from millrace.session import workdir
 
 
 def test_grams_of_odd_texts(spark):
@@ -41,41 +40,52 @@ def test_similarity_finds_every_match(spark, threshold):
     assert got == pytest.approx(want)
 
 
-@pytest.mark.parametrize("keyword", ["alp", "bet", "a b", "gamma delta", "nowhere"])
-def test_index_lookup_equals_substring(spark, keyword):
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["Alpha beta", "alp", "gamma Delta", "betbet", "x"])], "id int, text string")
-    path = workdir(spark, "grams")
-    search.write_ngram_index(docs, "id", "text", 3, path, 4)
-    hits = search.ngram_filter(docs, spark.read.parquet(path), "id", "text", keyword, 3, 4)
-    assert {r.id for r in hits.collect()} == {r.id for r in docs.collect() if keyword in r.text.lower()}
+def test_lookups_count_rows_under_each_condition(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("a"), F.when(F.col("id") % 7 > 0, F.col("id") >= 700).alias("b"))
+    lookups = {"x": ("AND", (F.col("a") == 0) & F.col("b")), "y": ("OR", (F.col("a") == 1) | F.col("b")), "none": ("AND", F.col("a") == 9)}
+    got = {(r.lookup, r.op): r.n_rows for r in search.count_lookups(df, lookups).collect()}
+    late = [i % 7 > 0 and i >= 700 for i in range(1000)]
+    assert got == {("x", "AND"): sum(i % 3 == 0 and late[i] for i in range(1000)), ("y", "OR"): sum(i % 3 == 1 or late[i] for i in range(1000)), ("none", "AND"): 0}
 
 
-def test_bitmap_lookup_across_buckets(spark):
-    df = spark.range(100_000).select("id", (F.col("id") % 3).alias("a"), (F.col("id") >= 70_000).alias("b"))
-    index = search.bitmap_index(df, "id", ["a", "b"])
-    lookups = spark.createDataFrame(
-        [("x", "AND", "a", "0"), ("x", "AND", "b", "true"), ("y", "OR", "a", "1"), ("y", "OR", "b", "true"), ("z", "AND", "b", "false")],
-        "lookup string, op string, attribute string, value string",
-    )
-    got = {r.lookup: r.n_rows for r in search.bitmap_lookup(index, lookups).collect()}
-    ids = range(100_000)
-    assert got == {
-        "x": sum(i % 3 == 0 and i >= 70_000 for i in ids), "y": sum(i % 3 == 1 or i >= 70_000 for i in ids), "z": 70_000,
-    }
+def test_tokens_keep_letters_of_every_script(spark):
+    docs = spark.createDataFrame([(1, "Größe, été 42! naïve_x"), (2, None), (3, "日本 — x")], "id int, text string")
+    got = {(r.term, r.id) for r in search.inverted_postings(docs, "id", "text").collect()}
+    assert got == {("größe", 1), ("été", 1), ("42", 1), ("naïve", 1), ("x", 1), ("日本", 3), ("x", 3)}
 
 
 @pytest.mark.parametrize("query_block", [256, 4])
-def test_nearest_by_one_block_or_many(spark, query_block):
+def test_nearest_by_one_block_or_many(spark, monkeypatch, query_block):
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", query_block)
     rng = np.random.default_rng(1)
     base, asked = rng.normal(size=(300, 8)), rng.normal(size=(11, 8))
     base[50:150] = base[50]  # a third of the vectors are copies
-    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
-    scores = np.round(unit(base) @ unit(asked).T, 4)
+    base[7] = 0
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    scores = np.round(unit(base) @ unit(asked).T, 12)
     want = {(q, i, r + 1) for q in range(11) for r, i in enumerate(np.lexsort((np.arange(300), -scores[:, q]))[:5])}
-    vecs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "id long, v array<double>")
-    queries = spark.createDataFrame([(q, v.tolist()) for q, v in enumerate(asked)], "query_id long, query array<double>")
-    got = vectors.nearest(vecs, "id", "v", queries, 5, query_block).collect()
+    vecs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)] + [(900, None)], "id long, v array<double>")
+    queries = spark.createDataFrame([(q, v.tolist()) for q, v in enumerate(asked)] + [(99, None)], "query_id long, query array<double>")
+    got = vectors.nearest(vecs, "id", "v", queries, 5).collect()
     assert {(r.query_id, r.id, r["rank"]) for r in got} == want
+    assert vectors.nearest(vecs, "id", "v", queries.limit(0), 5).count() == 0
+
+
+def test_nearest_ranks_by_the_full_score(spark):
+    vecs = spark.createDataFrame([(1, [1.0, 0.005]), (2, [1.0, 0.0])], "id long, v array<double>")
+    queries = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, query array<double>")
+    assert [r.id for r in vectors.nearest(vecs, "id", "v", queries, 1).collect()] == [2]
+
+
+def test_sign_hashes_take_zero_and_null_vectors(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(200, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(base)] + [(300, [0.0] * 8), (301, None)]
+    vecs = spark.createDataFrame(rows, "id long, v array<double>")
+    queries = spark.createDataFrame([(0, base[5].tolist()), (1, [0.0] * 8), (2, None)], "query_id long, query array<double>")
+    got = {(r.query_id, r["rank"]): r.id for r in vectors.nearest_lsh(vecs, "id", "v", queries, 3).collect()}
+    assert got[0, 1] == 5 and not any(q == 2 for q, _ in got)
+    assert vectors.nearest_lsh(vecs.limit(0), "id", "v", queries, 3).count() == 0
 
 
 def test_approximate_recall(spark):

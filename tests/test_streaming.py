@@ -61,6 +61,8 @@ def test_job_monitor_over_several_reports(spark):
         (1, "RUNNING", 10, "2024-01-01 00:00:00"), (1, "FINISHED", 100, "2024-01-01 00:01:30"),
         (2, "PENDING", 0, "2024-01-01 00:00:00"), (2, "RUNNING", 200, "2024-01-01 00:03:20"),
         (3, "RUNNING", 400, "2024-01-01 00:00:00"), (4, "CANCELLED", 1, "2024-01-01 00:00:00"),
+        (5, "RUNNING", 0, "2024-01-01 00:00:00"), (5, "RUNNING", 400, "2024-01-01 00:06:40"), (5, "RUNNING", 800, "2024-01-01 00:13:20"),
+        (6, "RUNNING", 0, "2024-01-01 00:00:00"), (6, "FINISHED", 400, "2024-01-01 00:06:40"), (7, "FINISHED", 1, None),
     ]
     df = spark.createDataFrame(reports, "job_id long, state string, elapsed_s long, ts string")
     df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{work}/in")
@@ -68,7 +70,32 @@ def test_job_monitor_over_several_reports(spark):
     assert {(r.job_id, r.outcome, str(r.decided_at)) for r in closed.collect()} == {
         (1, "finished", "2024-01-01 00:01:30"), (2, "timed_out", "2024-01-01 00:05:00"),
         (3, "timed_out", "2024-01-01 00:00:00"), (4, "cancelled", "2024-01-01 00:00:00"),
+        (5, "timed_out", "2024-01-01 00:05:00"), (6, "timed_out", "2024-01-01 00:05:00"),
     }
+    assert closed.count() == 6
+
+
+def test_job_monitor_over_batches(spark):
+    work = workdir(spark, "t-jobs")
+    batches = [
+        [(1, "RUNNING", 0, "2024-01-01 00:00:00"), (2, "RUNNING", 0, "2024-01-01 00:00:00")],
+        [(1, "FINISHED", 200, "2024-01-01 00:03:20"), (3, "RUNNING", 0, "2024-01-01 02:00:00")],
+        [(2, "FINISHED", 8000, "2024-01-01 02:13:20"), (3, "CANCELLED", 100, "2024-01-01 02:01:40"), (1, "RUNNING", 9000, "2024-01-01 02:30:00")],
+    ]
+    for rows in batches:
+        df = spark.createDataFrame(rows, "job_id long, state string, elapsed_s long, ts string")
+        df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(f"{work}/in")
+    closed = st.run_closed(spark, feeds.read_stream(spark, f"{work}/in", 1), work, "ts", lambda s: st.monitor_jobs(s, "ts", "1 hour", 0))
+    assert sorted((r.job_id, r.outcome) for r in closed.collect()) == [(1, "finished"), (2, "timed_out"), (3, "cancelled")]
+
+
+def test_late_rows_after_batches_without_times(spark):
+    work = workdir(spark, "t-late")
+    for rows in ([(1, None)], [(2, "2024-01-05 00:00:00")], [(3, "2024-01-01 00:00:00"), (4, None)]):
+        df = spark.createDataFrame(rows, "id int, at string").select("id", F.col("at").cast("timestamp_ntz").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(f"{work}/in")
+        st.split_late(feeds.read_stream(spark, f"{work}/in"), work, "ts", "1 DAY")
+    assert {r.id: r.late for r in spark.read.parquet(f"{work}/rows").collect()} == {1: False, 2: False, 3: True, 4: False}
 
 
 def test_dedup_of_a_hot_key_over_batches(spark):
@@ -95,7 +122,11 @@ def test_sessions_over_batches(spark, inputs):
     assert spark_rows(closed.select(*ntz)) == spark_rows(batch.select(*columns))
 
 
-def test_monitor_agrees_with_the_batch_outcomes(spark):
-    """Once all limits have passed, a running job has timed out."""
+def test_monitor_agrees_with_the_batch_outcomes(spark, inputs):
+    """Once all limits have passed, a running job has timed out, and so has one that ended too late."""
+    late = inputs["alter_jobs"].filter("elapsed_s > 300").select("job_id")
     batch = QUERIES["job_timeouts"](spark, SF_DIR).select("job_id", F.replace("outcome", F.lit("running"), F.lit("timed_out")).alias("outcome"))
-    assert spark_rows(QUERIES["stream_job_monitor"](spark, SF_DIR).select("job_id", "outcome")) == spark_rows(batch)
+    stream = QUERIES["stream_job_monitor"](spark, SF_DIR).select("job_id", "outcome")
+    assert stream.count() == batch.count()
+    assert spark_rows(stream.join(late, "job_id", "left_anti")) == spark_rows(batch.join(late, "job_id", "left_anti"))
+    assert {r.outcome for r in stream.join(late, "job_id").collect()} == {"timed_out"}

@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from millrace.functions import ddl, text
+from millrace.functions import ddl, quoting, text
 from millrace.functions.casts import cast_or_null
+from millrace.operators import quality, schema
+from millrace.session import workdir
 
 
 def one(spark, value, *exprs):
@@ -116,9 +118,59 @@ def test_digest_keeps_digits_in_names(spark):
     assert one(spark, "SELECT  c1 FROM t2\nWHERE k = 17 AND v = 'it''s 5'", text.normal_statement(F.col("s"))) == "SELECT c1 FROM t2 WHERE k = ? AND v = ?"
 
 
-def test_quoting_round_trip(spark):
-    tricky = 'back\\slash "quote"'
-    assert one(spark, tricky, ddl.unquote(F.regexp_extract(ddl.quote(F.col("s")), r'(?s)^"(.*)"$', 1))) == tricky
+@pytest.mark.parametrize("tricky", ['back\\slash "quote"', 'line\nbreak\ttab', '\\n is no line end', '"', "\\", '\\"', 'ends in \\\\', "a\r\n\x07b", ""])
+def test_quoting_round_trip(spark, tricky):
+    quoted = one(spark, tricky, quoting.quote(F.col("s")))
+    assert "\n" not in quoted
+    back = quoting.unquote(F.regexp_extract(quoting.hide_escapes(F.col("s")), quoting.QUOTED, 1))
+    assert one(spark, f"x = {quoted}, y", back) == tricky
+
+
+@pytest.mark.parametrize("literal", ["x" * (1 << 20), "''" * (1 << 19), "\\" * (1 << 19)])
+def test_long_literals(spark, literal):
+    assert one(spark, f"INSERT INTO t VALUES ('{literal}', 7)", text.normal_statement(F.col("s"))) == "INSERT INTO t VALUES (?, ?)"
+
+
+@pytest.mark.parametrize("comment", ["x" * (1 << 20), '\\"' * (1 << 19), "\\\\" * (1 << 18), "(" * 1000 + "," * 1000])
+def test_long_comments(spark, comment):
+    made = f'CREATE TABLE `t` (\n  `c` int NULL COMMENT "{comment}"\n) ENGINE=OLAP\nCOMMENT "{comment}"\nPROPERTIES ("k" = "{comment}")'
+    df = spark.createDataFrame([(1, made)], "id int, ddl string")
+    want = comment.replace('\\"', '"').replace("\\\\", "\\")
+    column, table = ddl.parse_columns(df, "id", "ddl").first(), ddl.parse_tables(df, "id", "ddl").first()
+    assert (column.type, column.comment, table.engine, table.comment, table.properties) == ("INT", want, "OLAP", want, {"k": want})
+
+
+def test_ddl_on_one_line(spark):
+    made = ('CREATE TABLE `t` (`id` bigint(20) NOT NULL COMMENT "a, `b` (c", `v` decimal(18, 2) NULL DEFAULT "0", `n` varchar(8) NULL) ENGINE=OLAP '
+            'PRIMARY KEY(`id`, `v`) COMMENT "PARTITION BY no" PARTITION BY date_trunc(\'day\', `ts`) DISTRIBUTED BY HASH(`id`) BUCKETS 3 PROPERTIES ("a" = "1", "b" = "2", "a" = "3")')
+    df = spark.createDataFrame([(1, made)], "id int, ddl string")
+    assert [(r.ord, r.name, r.type, r.nullable, r.dflt, r.comment) for r in ddl.parse_columns(df, "id", "ddl").collect()] == [
+        (1, "id", "BIGINT", False, None, "a, `b` (c"), (2, "v", "DECIMAL(18, 2)", True, "0", None), (3, "n", "VARCHAR(8)", True, None, None),
+    ]
+    r = ddl.parse_tables(df, "id", "ddl").first()
+    assert (r.name, r.engine, r.key_type, r.key_columns, r.comment) == ("t", "OLAP", "PRIMARY KEY", ["id", "v"], "PARTITION BY no")
+    assert (r.partition_by, r.distributed_by, r.properties) == ("PARTITION BY date_trunc('day', `ts`)", "DISTRIBUTED BY HASH(`id`) BUCKETS 3", {"a": "3", "b": "2"})
+
+
+def test_line_break_in_a_comment(spark):
+    made = 'CREATE TABLE `t` (\n  `c` int NULL COMMENT "one\ntwo",\n  `d` int NOT NULL COMMENT "three\\nfour"\n) ENGINE=OLAP'
+    df = spark.createDataFrame([(1, made)], "id int, ddl string")
+    assert [(r.type, r.comment) for r in ddl.parse_columns(df, "id", "ddl").collect()] == [("INT", "one\ntwo"), ("INT", "three\nfour")]
+
+
+def test_repeated_index_property(spark):
+    kind, props = text.strip_index_type(F.col("s"))
+    assert one(spark, 'ngrambf("GRAM_NUM" = "4", "gram_num" = "5")', kind, props) == ("NGRAMBF", {"gram_num": "5"})
+
+
+def test_text_lengths_are_kept(spark):
+    df = spark.createDataFrame([("abcdefgh", ["abc", "d"]), ("abc", ["abcd"]), (None, None)], "c string, a array<string>")
+    changes = [{"kind": "MODIFY", "name": "c", "type": "VARCHAR(3)", "new_dflt": None}, {"kind": "MODIFY", "name": "a", "type": "ARRAY<VARCHAR(3)>", "new_dflt": None}]
+    assert [tuple(r) for r in schema.apply_schema_change(df, changes).collect()] == [(None, ["abc", "d"]), ("abc", None), (None, None)]
+    assert {(r.column_name, r.n_values, r.n_lost) for r in schema.cast_failures(df, changes).collect()} == {("c", 2, 1), ("a", 2, 1)}
+    assert schema.cast_failures(df, []).count() == 0
+    assert schema.write_version(df, workdir(spark, "versions"), changes).count() == 3
+    assert quality.constraint_violations(df, [("c", "DOUBLE", True)]).count() == 1 and quality.constraint_violations(df, [("c", "VARCHAR", True)]).count() == 0
 
 
 def test_properties(spark):
