@@ -81,13 +81,13 @@ def replacement_plan(specs: DataFrame, changes: DataFrame, replacing: list[tuple
     return joined.select(key, plan.alias("plan"), "n_changes")
 
 
-def exact_names(requested: DataFrame, names: DataFrame, found: str) -> DataFrame:
+def exact_names(requested: DataFrame, names: DataFrame, found: str, order: str | None = None) -> DataFrame:
     """Requested names with the object of the same name but for case, or null.
 
     LIKE would take ``_`` and ``%`` as wildcards, so it is no equality. Of several
-    matches the last one counts.
+    matches the last one by ``order`` (if not given, by ``found``) counts.
     """
-    known = names.groupBy(F.lower("name").alias("folded")).agg(F.max(found).alias(found))
+    known = names.groupBy(F.lower("name").alias("folded")).agg(F.max_by(found, order or found).alias(found))
     return requested.withColumn("folded", F.lower("name")).join(known, "folded", "left").drop("folded")
 
 

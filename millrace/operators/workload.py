@@ -51,6 +51,16 @@ def classify(log: DataFrame, classifiers: DataFrame, default: str = "rg_default"
     return ranked.withColumn("rg_name", F.coalesce(winner, F.lit(default))).drop(*(f"match{n}" for n in range(len(shapes))))
 
 
+def fold_group_rows(rows: DataFrame, order: str, key: str = "rg_name") -> DataFrame:
+    """One row per group of a listing that has one row per classifier: of each limit the first that is set.
+
+    Empty text and "0" mean unset.
+    """
+    limits = [c for c in rows.columns if c not in (key, order)]
+    set_ = lambda c: F.col(c).isNotNull() & ~F.trim(F.col(c).cast("string")).isin("", "0")
+    return rows.groupBy(key).agg(*(F.min_by(c, F.when(set_(c), F.col(order))).alias(c) for c in limits))
+
+
 def big_query_violations(grouped_log: DataFrame, groups: DataFrame) -> DataFrame:
     """Per day and group: queries, and how many exceed each limit.
 

@@ -88,6 +88,16 @@ def distinct_users_sketch(t):
     return months.agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_users"))
 
 
+@query("distinct_users_sketch_close", """
+SELECT date_trunc('month', ts)::DATE AS month, TRUE AS close FROM events GROUP BY 1
+""")
+def distinct_users_sketch_close(t):
+    """Is each month's estimate within five per cent of the exact number?"""
+    exact = t["audit"].groupBy(F.date_trunc("month", "ts_start").cast("date").alias("month")).agg(F.count_distinct("user_name").alias("exact"))
+    joined = distinct_users_sketch(t).join(exact, "month")
+    return joined.select("month", (F.abs(F.col("n_users") - F.col("exact")) <= 0.05 * F.col("exact")).alias("close"))
+
+
 @query("quota_report", """
 SELECT d.db, coalesce(u.used_bytes, 0) AS used_bytes, coalesce(r.n, 0) AS used_replicas,
   CASE d.db WHEN 'analytics' THEN 104857600 WHEN 'app_db' THEN 10737418240 END AS quota_bytes,

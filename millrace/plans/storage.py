@@ -44,6 +44,9 @@ def unified_union(t):
     })
 
 
+#: Small, so that the given tables fill several buckets and files.
+ROWS_EACH = 20_000
+
 AUDIT_DAYS = "SELECT *, CAST(ts_start AS DATE) AS day FROM audit"
 
 
@@ -53,7 +56,7 @@ SELECT query_id, count(*) AS n_rows, min(day) AS day, CAST(sum(scan_rows) AS BIG
 def partitioned_bucketed_roundtrip(t):
     """Grouping by the bucket column reads back without a shuffle."""
     audit = t["audit"].withColumn("day", F.to_date("ts_start"))
-    name = layout.write_bucketed(audit, workdir(t.spark, "bucketed"), "day", "query_id", 4, ["ts_start", "query_id"])
+    name = layout.write_bucketed(audit, workdir(t.spark, "bucketed"), "day", "query_id", layout.parts_for(audit, ROWS_EACH), ["ts_start", "query_id"])
     table = t.spark.table(name).groupBy("query_id")
     return table.agg(F.count(F.lit(1)).alias("n_rows"), F.min("day").alias("day"), F.sum("scan_rows").alias("scan_rows"))
 
@@ -61,10 +64,37 @@ def partitioned_bucketed_roundtrip(t):
 @query("random_bucket_roundtrip", "SELECT * FROM events")
 def random_bucket_roundtrip(t):
     path = workdir(t.spark, "even")
-    layout.write_even(t["events"], path, 8)
+    layout.write_even(t["events"], path, layout.parts_for(t["events"], ROWS_EACH))
     return t.spark.read.parquet(path)
 
 
+@query("random_bucket_spread", f"SELECT greatest(1, CAST(ceil(count(*) / {ROWS_EACH}) AS BIGINT)) AS n_files, count(*) AS n_rows, TRUE AS even FROM events")
+def random_bucket_spread(t):
+    """Do the files hold as many rows each, but for what one task's turn can add?"""
+    path = workdir(t.spark, "even")
+    layout.write_even(t["events"], path, layout.parts_for(t["events"], ROWS_EACH))
+    rows = F.col("n_rows")
+    even = F.max(rows) - F.min(rows) <= t["events"].rdd.getNumPartitions()
+    return layout.rows_per_file(t.spark, path).agg(F.count(F.lit(1)).alias("n_files"), F.sum(rows).alias("n_rows"), even.alias("even"))
+
+
+@query("key_sorted_ranges", "SELECT CAST(0 AS BIGINT) AS n_overlapping, count(*) > 0 AS written FROM lineitem")
+def key_sorted_ranges(t):
+    """Files of a key-sorted table whose key ranges overlap: none."""
+    path = workdir(t.spark, "sorted")
+    layout.write_sorted(t["lineitem"], path, ["l_orderkey", "l_linenumber"])
+    return layout.overlapping_files(t.spark, path, "l_orderkey").select("n_overlapping", (F.col("n_files") > 0).alias("written"))
+
+
+@query("compressed_codec", "SELECT 'lz4' AS codec, count(*) AS n_rows FROM events")
+def compressed_codec(t):
+    """The codec that the written files name."""
+    path = workdir(t.spark, "lz4")
+    t["audit"].write.option("compression", "lz4").parquet(path)
+    codec = F.regexp_extract("file_name", r"\.(lz4)[a-z_]*\.parquet$", 1)
+    return layout.rows_per_file(t.spark, path).groupBy(codec.alias("codec")).agg(F.sum("n_rows").alias("n_rows"))
+
+
 @query("compressed_roundtrip", AUDIT_DAYS)
 def compressed_roundtrip(t):
     path = workdir(t.spark, "lz4")
@@ -81,5 +111,6 @@ def storage_usage(t):
 @query("bloom_skipping", """SELECT event_id, user_id, event_type, value FROM events WHERE props = '{"k": 69}'""")
 def bloom_skipping(t):
     path = workdir(t.spark, "bloom")
-    t["events"].write.options(**layout.bloom_options("props", 0.05, 100_000)).parquet(path)
+    distinct = t["events"].agg(F.approx_count_distinct("props")).first()[0]
+    t["events"].write.options(**layout.bloom_options("props", 0.05, max(1, distinct))).parquet(path)
     return t.spark.read.parquet(path).filter(F.col("props") == '{"k": 69}').select("event_id", "user_id", "event_type", "value")

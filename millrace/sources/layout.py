@@ -5,9 +5,19 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Rows that one bucket or file holds, where the caller does not say.
+ROWS_EACH = 5_000_000
+
+
+def parts_for(df: DataFrame, rows_each: int = ROWS_EACH) -> int:
+    """How many buckets or files the rows fill."""
+    return max(1, -(-df.count() // rows_each))
+
+
 def write_bucketed(df: DataFrame, path: str, partition: str, bucket: str, n: int, order: list[str]) -> str:
     """Partitioned, hash-bucketed, key-sorted external table; gives its name.
 
@@ -51,6 +61,23 @@ def bloom_options(column: str, fpp: float, distinct: int) -> dict[str, str]:
     }
 
 
+def rows_per_file(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, n_rows) of a written table."""
+    return spark.read.parquet(path).groupBy("_metadata.file_name").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def overlapping_files(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """(n_files, n_overlapping): files whose first value of the column lies before the last one's of the file before.
+
+    The window sees one row a file.
+    """
+    files = spark.read.parquet(path).groupBy("_metadata.file_name").agg(F.min(column).alias("low"), F.max(column).alias("high"))
+    line = W.partitionBy().orderBy("low", "high")
+    return files.withColumn("before", F.max("high").over(line.rowsBetween(W.unboundedPreceding, -1))).agg(
+        F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("low") < F.col("before")).alias("n_overlapping")
+    )
+
+
 def storage_usage(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Files and bytes per table, from file listings; no file is opened."""
     parts = []

@@ -155,3 +155,14 @@ def test_a_run_without_end_keeps_counting(spark):
     groups = spark.createDataFrame([("g", 0)], "rg_name string, concurrency_limit int")
     peaks = {str(r.day): (r.peak, r.over_limit) for r in workload.concurrency_peaks(log, groups).collect()}
     assert peaks == {"2024-01-01": (1, False), "2024-01-02": (2, False)}
+
+
+def test_group_rows_fold_to_the_first_limit_set(spark):
+    rows = spark.createDataFrame([("a", 1, "", "0"), ("a", 2, "10", None), ("a", 3, "20", "7"), ("b", 1, None, "0")], "rg_name string, at int, cpu string, mem string")
+    assert {tuple(r) for r in workload.fold_group_rows(rows, "at").collect()} == {("a", "10", "7"), ("b", None, None)}
+
+
+def test_a_day_between_start_and_end_counts(spark):
+    log = spark.createDataFrame([("q", "g", dt.datetime(2024, 1, 1, 12), 2 * 86_400_000)], "query_id string, rg_name string, ts_start timestamp_ntz, query_time_ms long")
+    groups = spark.createDataFrame([("g", 1)], "rg_name string, concurrency_limit int")
+    assert sorted((r.day.day, r.peak) for r in workload.concurrency_peaks(log, groups).collect()) == [(1, 1), (2, 1), (3, 1)]
