@@ -110,6 +110,31 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES["op7_decontamination"] = f"""
+WITH items AS (
+    SELECT item_id, {WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL
+), windows AS (
+    SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, len(x) AS n, array_to_string(x, ' ') AS k
+    FROM (SELECT item_id, unnest(list_transform(range(1, greatest(len(w) - 8, 2)), lambda i: list_slice(w, i, i + 9))) AS x FROM items WHERE len(w) > 0) AS cut
+), docs AS (
+    SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS w FROM documents
+), places AS (
+    SELECT rid, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: {{'i': i, 'k': array_to_string(list_slice(w, i, i + n - 1), ' ')}})) AS p
+    FROM docs, (SELECT DISTINCT n FROM windows) AS lengths
+), hits AS (
+    SELECT rid, item, p.i AS i, places.n AS n FROM places JOIN windows ON windows.n = places.n AND windows.k = p.k
+), covered AS (
+    SELECT rid, count(DISTINCT word) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS word FROM hits) AS spread GROUP BY rid
+), found AS (
+    SELECT rid, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT rid, item FROM hits) AS pairs GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (rid) LEFT JOIN found USING (rid)
+"""
+
+
 def _is_kind(kind, span):
     return span["kind"] == kind
 

@@ -3,7 +3,9 @@
 import re
 
 import pytest
+from compare import connect
 from conftest import SF_DIR
+from samples import same_rows
 
 import __spark_entry__ as contract
 import corpus_pipeline
@@ -60,6 +62,16 @@ def test_run_equals_the_stages(spark, steps):
     assert pii.labelled(spark).count() > 40
 
 
+@pytest.mark.parametrize("key", sorted(ORACLES))
+def test_query_equals_oracle(spark, key):
+    con = connect(SF_DIR)
+    df = QUERIES[key](spark, SF_DIR)
+    result = con.execute(ORACLES[key])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == sorted(df.columns)
+    assert same_rows(df.select(*names).collect(), result.fetchall())
+
+
 def test_queries_run_over_all_rows(spark):
     for key, source in {"op1_html_text": "pages", "op2_url_filter": "pages", "op6_simhash": "documents", "op7_decontamination": "documents", "op8_pii": "documents", "op9_quality": "documents"}.items():
         assert QUERIES[key](spark, SF_DIR).count() == spark.read.parquet(f"{SF_DIR}/{source}.parquet").count(), key
