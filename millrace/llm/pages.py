@@ -18,11 +18,13 @@ LEAVES = set("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption capti
 ASIDE = set("head nav header footer aside form script style noscript template menu dialog button select option svg canvas object audio video map".split())
 ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
 ASIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|(?:top|main|sub|site)?-?nav\w*|menus?|breadcrumbs?|sidebars?|side|aside|rail|footers?|foot|headers?|masthead|topbar|toolbar"
+    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|ad-?(?:slot|box|unit|banner)s?|sponsor\w*|promo\w*|banner\w*|(?:top|main|sub|site)?-?nav\w*|menus?|breadcrumbs?|sidebars?|side|aside|rail|footers?|foot|copyright|colophon|headers?|masthead|topbar|toolbar"
     r"|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modal|overlay|newsletter|subscri\w+|sign-?up|login|forms?|share|sharing|social|related|recommend\w*|widgets?|pagination|pager"
-    r"|comments?|commentlist|replies|disqus|discussion|respond|skip|hidden|disclaimer)(?=$|[\s_-])",
+    r"|comments?|commentlist|reply|replies|disqus|discussion|respond|skip|hidden|disclaimer)(?=$|[\s_-])",
     re.IGNORECASE,
 )
+#: Names that tell what the layout around an element has or lacks.
+LAYOUT_NAMES = re.compile(r"(?:has|with|without|no)[_-]", re.IGNORECASE)
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main|body|text)(?=$|[\s_-])", re.IGNORECASE)
 DIGITS = re.compile(r"\d+")
 
@@ -39,7 +41,7 @@ def _named(tag: str, attributes: str) -> tuple[str, bool, bool]:
     main = tag in ("article", "main") or role in ("main", "article")
     aside = tag in ASIDE or role in ASIDE_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
     # The names of the page's outermost elements tell its layout, not what they hold.
-    aside = aside or (tag not in ("html", "body") and not main and any(ASIDE_NAMES.search(n) for n in names))
+    aside = aside or (tag not in ("html", "body") and not main and any(ASIDE_NAMES.search(n) and not LAYOUT_NAMES.match(n) for n in names))
     general = sorted({DIGITS.sub("0", n).replace("\x00", "") for n in names})
     return ".".join([tag, *general]), aside, main or any(MAIN_NAMES.search(n) for n in names)
 

@@ -32,6 +32,7 @@ FRAMES = [
     "<html><body>{top}{menu}<article>{body}{ad}</article>{side}{comments}{footer}</body></html>",
     "<body><div id=wrap12>{top}{menu}<div class='col main-content'>{code}{body}{form}</div><div class='sidebar'>{side}<p>More of it here, and there, and all over the place.</p></div>{comments}{footer}",
     "<div class=page><div class='header'><p>A header made of a div, long enough to look like a text.</p></div><div class=x7><div class=y9>{body}{hidden}</div></div><div class='footer'><p>Imprint and more</p></div></div>{cookie}",
+    "<body class='has-sidebar'><div class='content with-sidebar'>{body}</div><div class='ad-slot'>{ad}</div><div class='user-comments'>{comments}</div><p class='copyright'>No right reserved</p></body>",
     "<main>{cookie}<div><section>{body}</section></div></main>{menu}{footer}",
 ]
 
