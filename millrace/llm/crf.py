@@ -78,7 +78,7 @@ class Crf:
         self.weights = np.zeros((0, 3, N))
         self.pairs = np.zeros((N, N))
 
-    def train(self, rows: Iterable[tuple[list[str], list[str]]], rounds: int = 400, decay: float = 0.02, step: float = 0.1) -> Crf:
+    def train(self, rows: Iterable[tuple[list[str], list[str]]], rounds: int = 300, decay: float = 0.02, step: float = 0.1) -> Crf:
         """Maximum likelihood with an L2 penalty, all rows at once (Adam); the same rows give the same weights."""
         rows = [r for r in rows if r[0]]
         shown = [[features(w) for w in words] for words, _ in rows]
@@ -92,22 +92,24 @@ class Crf:
                 seen[r, t + 1, [self.number[f] for f in fs]] = 1
             mask[r, : len(row)] = True
             gold[r, : len(row)] = [LABELS.index(x) for x in rows[r][1]]
-        around = np.stack([seen[:, 1:-1], seen[:, :-2], seen[:, 2:]], 2)  # row, place, (own, previous, next), feature
+        # One row for each place: its own features, those before and those after it.
+        around = np.concatenate([seen[:, 1:-1], seen[:, :-2], seen[:, 2:]], 2).reshape(len(rows) * longest, -1)
         target = np.eye(N)[gold] * mask[..., None]
         gold_pairs = np.zeros((N, N))
         for r, row in enumerate(shown):
             path = [0, *gold[r, : len(row)], 0]
             np.add.at(gold_pairs, (path[:-1], path[1:]), 1)
-        self.weights = np.zeros((len(self.number), 3, N))
-        momentum = [(np.zeros_like(x), np.zeros_like(x)) for x in (self.weights, self.pairs)]
+        flat = np.zeros((3 * len(self.number), N))
+        momentum = [(np.zeros_like(x), np.zeros_like(x)) for x in (flat, self.pairs)]
         for k in range(1, rounds + 1):
-            emit = np.einsum("rtsf,fsl->rtl", around, self.weights)
+            emit = (around @ flat).reshape(len(rows), longest, N)
             single, double = self._marginals(emit, mask)
-            gradients = np.einsum("rtsf,rtl->fsl", around, target - single) - decay * self.weights, (gold_pairs - double) * ALLOWED - decay * self.pairs
-            for x, g, (m, v) in zip((self.weights, self.pairs), gradients, momentum, strict=True):
+            gradients = around.T @ (target - single).reshape(-1, N) - decay * flat, (gold_pairs - double) * ALLOWED - decay * self.pairs
+            for x, g, (m, v) in zip((flat, self.pairs), gradients, momentum, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 x += step * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+        self.weights = flat.reshape(3, len(self.number), N).transpose(1, 0, 2).copy()
         return self
 
     def _marginals(self, emit: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,12 +167,13 @@ class Decoder:
             self.tables = np.concatenate([self.tables, self.model.weights[list(shown)].sum(0)[None]])
         return found
 
-    def number(self, words: list[str], most: int = 400_000) -> np.ndarray:
+    def number(self, words: list[str], most: int = 600_000) -> np.ndarray:
         known = self.known
         if len(known) > most:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = self.class_of(w)
+        for w in set(words):
+            if w not in known:
+                known[w] = self.class_of(w)
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def labels(self, classes: np.ndarray) -> np.ndarray:
