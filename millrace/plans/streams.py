@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import workdir
@@ -61,6 +64,18 @@ def stream_tumbling(t):
     return plain_times(closed, "window_start", "window_end")
 
 
+@query("stream_window_balance", "SELECT count(*) AS n_rows, CAST(count(*) AS BIGINT) AS n_counted FROM events")
+def stream_window_balance(t):
+    """Files out of time order, one a batch: rows in windows and rows too late are all rows."""
+    work = workdir(t.spark, "stream-balance")
+    t["events"].repartition(SLICES, "event_id").write.parquet(f"{work}/in")
+    stream = st.read_stream(t.spark, f"{work}/in", files_per_batch=1)
+    windows, late = st.windows_and_late(stream, work, "ts", "1 hour", lambda s: st.windowed_counts(s, "ts", "1 hour", "1 hour", None, ["event_type"]))
+    parts = [t["events"].select(F.lit(1), F.lit(0)), windows.select(F.lit(0), "n_rows"), late.select(F.lit(0), F.lit(1))]
+    counts = reduce(DataFrame.union, parts).toDF("given", "counted")
+    return counts.agg(F.sum("given").alias("n_rows"), F.sum("counted").alias("n_counted"))
+
+
 @query("stream_sliding", """
 SELECT w AS window_start, w + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n_rows
 FROM (SELECT event_type, unnest([time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(15 * k) FOR k IN range(4)]) AS w FROM events) AS e GROUP BY 1, 2, 3

@@ -49,6 +49,25 @@ def write_batch(df: DataFrame, table: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
 
+def write_folded(df: DataFrame, table: str, batch_id: int, every: int, fold: Callable[[DataFrame], DataFrame]) -> None:
+    """Write one folded micro-batch into the generation of its id.
+
+    A generation takes ``every`` batches. Its first batch also writes what the generation
+    before folds to, so that reading the last one is enough and costs no more as batches
+    go by. A repeat of a batch replaces all it wrote.
+    """
+    spark, generation = df.sparkSession, batch_id // every
+    if generation and batch_id % every == 0:
+        fold(spark.read.parquet(f"{table}/generation={generation - 1}").drop("batch_id")).write.mode("overwrite").parquet(f"{table}/generation={generation}/batch_id=-1")
+    write_batch(fold(df), f"{table}/generation={generation}", batch_id)
+
+
+def read_folded(spark: SparkSession, table: str) -> DataFrame:
+    """The batches of the last generation."""
+    last = spark.read.parquet(table).agg(F.max("generation")).first()[0]
+    return spark.read.parquet(f"{table}/generation={last}").drop("batch_id")
+
+
 def closing_stream(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
     """An empty side input of the same columns; `close_with` puts the end marker in it."""
     spark.createDataFrame([], like.schema).coalesce(1).write.mode("append").parquet(folder)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.keymodels import aggregate_key, fold_changes, merge_aggregates
 from ..operators.workload import JOB_OUTCOMES
-from .feeds import close_with, closing_stream, drain, drain_batches, read_stream, write_batch
+from .feeds import close_with, closing_stream, drain, drain_batches, read_folded, read_stream, write_batch, write_folded
 
 FAR = "2200-01-01 00:00:00"
 
@@ -55,32 +57,33 @@ def session_counts(stream: DataFrame, at: str, delay: str, gap: str, keys: list[
     return counted.select(*keys, F.col("w.start").alias("session_start"), "session_end", "n_rows")
 
 
-def upsert_stream(stream: DataFrame, work: str, keys: list[str], order: list[Column], order_names: list[str], values: list[str]) -> DataFrame:
+def upsert_stream(stream: DataFrame, work: str, keys: list[str], order: list[Column], order_names: list[str], values: list[str], every: int = 100) -> DataFrame:
     """Apply a change feed batch by batch.
 
     Each batch is folded to its last change per key and written under its id, which a
-    restart replaces; the cost of a batch does not depend on the table. Reading folds
-    the batches.
+    restart replaces; the cost of a batch does not depend on the table. After ``every``
+    batches they are folded into one.
     """
     spark, table = stream.sparkSession, f"{work}/changes"
+    fold = partial(fold_changes, keys=keys, order=order, values=[*order_names, *values])
 
     def apply(batch, batch_id):
-        write_batch(fold_changes(batch, keys, order, [*order_names, *values]), table, batch_id)
+        write_folded(batch, table, batch_id, every, fold)
 
     drain_batches(stream, apply, f"{work}/checkpoint")
-    last = fold_changes(spark.read.parquet(table), keys, order, values)
+    last = fold_changes(read_folded(spark, table), keys, order, values)
     return last.filter("op = 'U'").drop("op")
 
 
-def aggregate_stream(stream: DataFrame, work: str, keys: list[str], types: dict[str, str]) -> DataFrame:
-    """AGGREGATE KEY table kept up to date: each batch adds its own aggregates."""
+def aggregate_stream(stream: DataFrame, work: str, keys: list[str], types: dict[str, str], every: int = 100) -> DataFrame:
+    """AGGREGATE KEY table kept up to date: each batch adds its own aggregates; they are merged after ``every`` batches."""
     spark, table = stream.sparkSession, f"{work}/aggregates"
 
     def apply(batch, batch_id):
-        write_batch(aggregate_key(batch, keys, types), table, batch_id)
+        write_folded(batch, table, batch_id, every, lambda df: aggregate_key(df, keys, types))
 
     drain_batches(stream, apply, f"{work}/checkpoint")
-    return merge_aggregates([spark.read.parquet(table).drop("batch_id")], keys, types)
+    return merge_aggregates([read_folded(spark, table)], keys, types)
 
 
 def split_late(stream: DataFrame, work: str, at: str, delay: str) -> None:
@@ -103,6 +106,18 @@ def split_late(stream: DataFrame, work: str, at: str, delay: str) -> None:
     drain_batches(stream, apply, f"{work}/checkpoint")
 
 
+def windows_and_late(stream: DataFrame, work: str, at: str, delay: str, build) -> tuple[DataFrame, DataFrame]:
+    """The windows over the rows in time, and the rows too late for them or without a time: together all rows.
+
+    Windows drop what arrives behind the watermark; here it is split off and kept first.
+    """
+    spark = stream.sparkSession
+    split_late(stream, f"{work}/split", at, delay)
+    rows = spark.read.parquet(f"{work}/split/rows")
+    kept = spark.readStream.schema(rows.schema).parquet(f"{work}/split/rows").filter("NOT late").drop("late", "batch_id")
+    return run_closed(spark, kept, f"{work}/windows", at, build), rows.filter(F.col("late") | F.col(at).isNull()).drop("late", "batch_id")
+
+
 def monitor_jobs(stream: DataFrame, at: str, delay: str, limit_s: int, remember_s: int = 7 * 86_400) -> DataFrame:
     """(job_id, outcome, decided_at): one outcome per job, the first of a terminal report and its time limit.
 
@@ -161,5 +176,5 @@ def monitor_jobs(stream: DataFrame, at: str, delay: str, limit_s: int, remember_
 
 __all__ = [
     "aggregate_stream", "drain", "monitor_jobs", "read_stream", "run_closed", "session_counts",
-    "split_late", "unique_rows", "upsert_stream", "windowed_counts",
+    "split_late", "unique_rows", "upsert_stream", "windowed_counts", "windows_and_late",
 ]

@@ -36,6 +36,24 @@ def test_repeated_batch_replaces_itself(spark):
     assert spark.read.parquet(table).count() == 6
 
 
+def test_batches_are_folded_into_generations(spark, inputs):
+    work, feed = workdir(spark, "t-folded"), inputs["change_feed"]
+    in_slices(feed, f"{work}/in", 5)
+    after = st.upsert_stream(feeds.read_stream(spark, f"{work}/in", 1), work, ["part_key"], feed_order(), list(FEED_ORDER), ["new_price"], every=2)
+    assert spark_rows(after) == spark_rows(keymodels.apply_change_feed(feed, ["part_key"], feed_order(), ["new_price"]))
+    assert {r[0] for r in spark.read.parquet(f"{work}/changes/generation=2").select("batch_id").distinct().collect()} == {-1, 4}
+
+
+def test_windows_and_late_rows_are_all_rows(spark, inputs):
+    work, events = workdir(spark, "t-balance"), inputs["events"].select("event_id", "ts", "event_type")
+    in_slices(events, f"{work}/in", 4)
+    in_slices(events.limit(3).withColumn("ts", F.lit(None).cast("timestamp_ntz")), f"{work}/in", 1)
+    stream = feeds.read_stream(spark, f"{work}/in", 1)
+    windows, late = st.windows_and_late(stream, work, "ts", "1 hour", lambda s: st.windowed_counts(s, "ts", "1 hour", "1 hour", None, ["event_type"]))
+    assert 0 < late.count() < events.count()
+    assert windows.agg(F.sum("n_rows")).first()[0] + late.count() == events.count() + 3
+
+
 def test_tumbling_over_ordered_batches(spark, inputs):
     work, events = workdir(spark, "t-tumbling"), inputs["events"].select("event_id", "ts", "event_type")
     for low, high in (("2024-01-01", "2024-01-12"), ("2024-01-12", "2024-01-21"), ("2024-01-21", "2024-02-01")):
