@@ -4,8 +4,8 @@ The distinct pre-tokens of a block of documents form the corpus. An inverted ind
 maps each mergeable pair to the positions where it stands; merges are replayed over
 all pre-tokens at once in rank order, and each merge touches only its two neighbours.
 Pre-tokens do not influence each other, so the blocks give the ids a replay over the
-whole corpus would give, without moving every token through a shuffle. A task keeps
-the pre-tokens it has seen.
+whole corpus would give, without moving every token through a shuffle. A worker process
+keeps the pre-tokens it has seen.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; repeated rows
 are encoded each; an empty table gives an empty table; other columns pass through,
@@ -15,7 +15,9 @@ and one named like the output is replaced.
 from __future__ import annotations
 
 import base64
-from heapq import heapify, heappop, heappush
+from collections import defaultdict
+from functools import cache
+from heapq import heappop, heappush
 
 import numpy as np
 import regex
@@ -23,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import annotate, map_rows, named, without
-from .pieces import pack
+from .pieces import NOT_PLAIN, pack, plain_pattern
 
-#: Distinct pre-tokens replayed together, and entries of the cache (beyond them it starts anew).
-REPLAYED, CACHE = 50_000, 400_000
+SHIFT = 24
+#: Distinct pre-tokens replayed together, and entries of either half of the cache.
+REPLAYED, CACHE = 50_000, 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,66 +47,83 @@ class Replay:
         self.single = [ranks.get(bytes([b])) for b in range(256)]
         if None in self.single:
             raise ValueError("the rank table lacks a single byte")
-        self.pairs: dict[tuple[int, int], int | None] = {}
+        # Key of a pair: the first id shifted by SHIFT bits, and the second.
+        self.pairs: dict[int, int] = {}
+        self.byte_pairs = np.array([[self.rank(a, b) for b in self.single] for a in self.single])
 
-    def pair(self, a: int, b: int) -> int | None:
-        """The rank of two neighbours joined, if the table has it."""
-        found = self.pairs.get((a, b), -1)
-        if found == -1:
-            found = self.pairs[a, b] = self.ranks.get(self.token[a] + self.token[b])
+    def rank(self, a: int, b: int) -> int:
+        """The rank of two neighbours joined; -1 if the table lacks it."""
+        found = self.pairs[a << SHIFT | b] = self.ranks.get(self.token[a] + self.token[b], -1)
         return found
 
-    def run(self, words: list[bytes]) -> list[list[int]]:
-        symbol: list[int] = []
-        word: list[int] = []
-        follow: list[int] = []
-        before: list[int] = []
-        starts = []
-        for k, w in enumerate(words):
-            first = len(symbol)
-            starts.append(first)
-            symbol += [self.single[b] for b in w]
-            word += [k] * len(w)
-            follow += range(first + 1, first + len(w) + 1)
-            before += range(first - 1, first + len(w) - 1)
-            follow[-1] = before[first] = -1
-        index: dict[int, list[int]] = {}
-        for p, q in enumerate(follow):
-            if q >= 0 and (rank := self.pair(symbol[p], symbol[q])) is not None:
-                index.setdefault(rank, []).append(p)
-        queue = list(index)
-        heapify(queue)
-
-        def note(rank: int, p: int) -> None:
-            at = index.get(rank)
-            if at is None:
-                index[rank] = [p]
-                heappush(queue, rank)
-            else:
-                at.append(p)
+    def _first_index(self, flat: np.ndarray, ends: np.ndarray) -> dict[int, list[int]]:
+        """Positions of the byte pairs by rank."""
+        ranks = self.byte_pairs[flat[:-1], flat[1:]]
+        ranks[ends[:-1] - 1] = -1  # no pair reaches into the next word
+        at = np.flatnonzero(ranks >= 0)
+        order = at[np.argsort(ranks[at], kind="stable")]
+        found, cuts = np.unique(ranks[order], return_index=True)
+        return defaultdict(list, zip(found.tolist(), [x.tolist() for x in np.split(order, cuts[1:])], strict=True)) if len(at) else defaultdict(list)
 
+    def run(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of each word (none of them empty)."""
+        known, rank = self.pairs.get, self.rank
+        lengths = np.array([len(w) for w in words])
+        ends = np.cumsum(lengths)
+        starts = (ends - lengths).tolist()
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        symbol: list[int] = np.array(self.single)[flat].tolist()
+        word: list[int] = np.repeat(np.arange(len(words)), lengths).tolist()
+        place = np.arange(len(flat))
+        after_, before_ = place + 1, place - 1
+        after_[ends - 1] = -1
+        before_[starts] = -1
+        follow: list[int] = after_.tolist()
+        before: list[int] = before_.tolist()
+        index = self._first_index(flat, ends)
+        queue = sorted(index)
         while queue:
             merged = heappop(queue)
+            at = index.pop(merged, None)
+            if at is None:
+                continue
+            at.sort()
             waiting = -1  # the word in which a lower or equal rank arose: its other positions come later
-            for p in sorted(index.pop(merged)):
+            for p in at:
                 q = follow[p]
-                if symbol[p] < 0 or q < 0 or self.pair(symbol[p], symbol[q]) != merged:
+                a = symbol[p]
+                if q < 0 or a < 0 or known(a << SHIFT | symbol[q]) != merged:
                     continue
                 if word[p] == waiting:
-                    note(merged, p)
+                    if merged not in index:
+                        heappush(queue, merged)
+                    index[merged].append(p)
                     continue
                 after, prior = follow[q], before[p]
                 symbol[p], symbol[q], follow[p] = merged, -1, after
                 if after >= 0:
                     before[after] = p
-                    if (rank := self.pair(merged, symbol[after])) is not None:
-                        note(rank, p)
-                        if rank <= merged:
+                    b = symbol[after]
+                    r = known(merged << SHIFT | b)
+                    if r is None:
+                        r = rank(merged, b)
+                    if r >= 0:
+                        if r not in index:
+                            heappush(queue, r)
+                        index[r].append(p)
+                        if r <= merged:
+                            waiting = word[p]
+                if prior >= 0:
+                    b = symbol[prior]
+                    r = known(b << SHIFT | merged)
+                    if r is None:
+                        r = rank(b, merged)
+                    if r >= 0:
+                        if r not in index:
+                            heappush(queue, r)
+                        index[r].append(prior)
+                        if r <= merged:
                             waiting = word[p]
-                if prior >= 0 and (rank := self.pair(symbol[prior], merged)) is not None:
-                    note(rank, prior)
-                    if rank <= merged:
-                        waiting = word[p]
         out = []
         for p in starts:
             ids = []
@@ -114,6 +134,50 @@ class Replay:
         return out
 
 
+class Encoder:
+    """Texts to packed ids, with what it has seen."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.replay, self.split = Replay(ranks), regex.compile(pattern).findall
+        plain = plain_pattern(pattern)
+        self.split_plain = plain.findall if plain else self.split
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, wanted: set[str]) -> None:
+        """Packed ids of pre-tokens; the older half of what is kept goes when it is full, but for what is wanted again."""
+        if len(self.words) > CACHE:
+            self.words, self.older = {}, self.words
+        known, older, fresh = self.words, self.older, []
+        for w in wanted:
+            if w in known:
+                continue
+            found = older.get(w)
+            if found is not None:
+                known[w] = found
+                continue
+            rank = self.replay.ranks.get(raw := w.encode())
+            if rank is None:
+                fresh.append((w, raw))
+            else:
+                known[w] = pack([rank])
+        for i in range(0, len(fresh), REPLAYED):
+            some = fresh[i : i + REPLAYED]
+            known.update(zip([w for w, _ in some], map(pack, self.replay.run([raw for _, raw in some])), strict=True))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        found = [(self.split if NOT_PLAIN.search(t) else self.split_plain)(t) if t else [] for t in texts]
+        self._learn(set().union(*found))
+        known = self.words.__getitem__
+        return [b"".join(map(known, ws)) for ws in found]
+
+
+@cache
+def encoder_of(ranks: str, pattern: str) -> Encoder:
+    """The encoder of this worker process, with what its earlier tasks have seen."""
+    return Encoder(read_ranks(ranks), pattern)
+
+
 def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text") -> DataFrame:
     """``df`` with ``ids``: the text's token ids as little-endian unsigned 32-bit integers.
 
@@ -122,28 +186,8 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text") -> DataF
     """
 
     def start():
-        replay = Replay(read_ranks(ranks))
-        split = regex.compile(pattern).findall
-        known: dict[str, bytes] = {}
-
-        def run(texts):
-            nonlocal known
-            if len(known) > CACHE:
-                known = {}
-            found = [split(t or "") for t in texts]
-            fresh = []
-            for w in set().union(*found) - known.keys():
-                rank = replay.ranks.get(raw := w.encode())
-                if rank is None:
-                    fresh.append((w, raw))
-                else:
-                    known[w] = pack([rank])
-            for i in range(0, len(fresh), REPLAYED):
-                some = fresh[i : i + REPLAYED]
-                known.update(zip([w for w, _ in some], map(pack, replay.run([raw for _, raw in some])), strict=True))
-            return ([b"".join(map(known.__getitem__, ws)) for ws in found],)
-
-        return run
+        encoder = encoder_of(ranks, pattern)
+        return lambda texts: (encoder.encode(texts),)
 
     return annotate(df, text, T.StructType().add("ids", "binary"), start)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,7 +17,23 @@ from ..session import cut_lineage
 #: ASCII white space: the bytes \x20 and \x09-\x0D, at which ``bytes.split()`` splits too.
 WHITE = b" \t\n\x0b\x0c\r"
 #: Bytes of text that one step of an Arrow loop holds as Python objects.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+ROWS_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+@contextmanager
+def no_collector():
+    """Without the cyclic garbage collector, which would walk all that is held again and again.
+
+    For steps that make many small objects and no cycles.
+    """
+    running = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if running:
+            gc.enable()
 
 
 def named(name: str) -> Column:
@@ -29,14 +47,29 @@ def without(df: DataFrame, names) -> list[str]:
     return [c for c in df.columns if c.lower() not in hidden]
 
 
-def numbered(df: DataFrame, row: str = "row", number: str = "rid") -> DataFrame:
-    """The rows as one struct with a number each, written once.
+def plain(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows under names of our own (c0, c1, ...), and the caller's names for them."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]), {name: f"c{k}" for k, name in enumerate(df.columns)}
+
 
-    The struct keeps the caller's column names apart from the operator's own. The
-    number is fixed by the written table, so a lost executor cannot change it.
+def restored(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The caller's columns under the caller's names."""
+    return rows.select(*[F.col(own).alias(name) for name, own in names.items()])
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`plain` rows with a number each (``rid``), written once.
+
+    The number is fixed by the written table, so a lost executor cannot change it.
     """
-    whole = F.struct(*[named(c) for c in df.columns])
-    return cut_lineage(df.select(whole.alias(row), F.monotonically_increasing_id().alias(number)))
+    rows, names = plain(df)
+    return cut_lineage(rows.withColumn("rid", F.monotonically_increasing_id())), names
+
+
+def small_batches(df: DataFrame) -> None:
+    """Texts are long: what Spark hands to Python at once is ``BATCH_ROWS`` rows, unless the session says otherwise."""
+    if df.sparkSession.conf.get(ROWS_SETTING) == "10000":
+        df.sparkSession.conf.set(ROWS_SETTING, str(BATCH_ROWS))
 
 
 def blocks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -64,6 +97,7 @@ def annotate(df: DataFrame, text: str, outputs: T.StructType, start: Callable[[]
 def map_rows(df: DataFrame, columns: list[Column], names: list[str], text: Column, outputs: T.StructType, start: Callable[[], Callable]) -> DataFrame:
     """``columns`` of ``df`` under ``names``, and the outputs made from ``text``."""
     where = len(columns)
+    small_batches(df)
     given = df.select(*[c.alias(f"c{i}") for i, c in enumerate([*columns, text])])
     schema = T.StructType(given.schema.fields[:where] + [T.StructField(f"o{i}", f.dataType) for i, f in enumerate(outputs.fields)])
     kinds = [_arrow(f.dataType) for f in outputs.fields]
@@ -72,7 +106,8 @@ def map_rows(df: DataFrame, columns: list[Column], names: list[str], text: Colum
         fn = start()
         for batch in batches:
             for block in blocks(batch, where):
-                made = fn(block.column(where).to_pylist())
+                with no_collector():
+                    made = fn(block.column(where).to_pylist())
                 arrays = block.columns[:where] + [pa.array(a, kind) for a, kind in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, schema.fieldNames())
 

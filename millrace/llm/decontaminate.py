@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import blocks, named, numbered
+from .common import blocks, named, numbered, restored, small_batches
 
 WINDOW = 10
 #: Distinct windows that travel together: at most some 10 MB.
@@ -72,6 +72,7 @@ def build_index(rows: DataFrame) -> DataFrame:
                 kinds = [pa.string(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["shard", "rids", "starts", "terms", "offsets", "positions"])
 
+    small_batches(rows)
     return cut_lineage(rows.mapInArrow(run, SHARD))
 
 
@@ -176,7 +177,7 @@ def contamination(rows: DataFrame, items: DataFrame, slop: int = 0, item: str =
 
 def decontaminate(df: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``df`` in which no benchmark window occurs."""
-    rows = numbered(df)
-    given = rows.select("rid", F.col("row").getField(text).cast("string").alias("text"))
+    rows, names = numbered(df)
+    given = rows.select("rid", F.col(names[text]).cast("string").alias("text"))
     hit = cut_lineage(contamination(given, items, item=item, item_text=item_text).filter(F.size("matches") > 0).select("rid"))
-    return rows.join(hit, "rid", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in df.columns])
+    return restored(rows.join(hit, "rid", "left_anti"), names)

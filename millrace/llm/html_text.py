@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .common import blocks, map_rows, named, without
+from .common import blocks, map_rows, named, small_batches, without
 from .pages import Page
 from .url_filter import host_and_path
 
@@ -49,6 +49,7 @@ def winning_paths(rows: DataFrame) -> DataFrame:
                 hosts, paths = zip(*votes, strict=True) if votes else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(votes.values(), pa.int64())], ["host", "path", "votes"])
 
+    small_batches(rows)
     votes = rows.mapInArrow(run, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     # The least of (-votes, path): most votes first, then the smaller path.
     first = F.min(F.struct((-F.col("votes")).alias("votes"), "path"))

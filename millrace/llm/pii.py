@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, named
+from .common import annotate, named, plain, restored
 from .crf import KINDS, LABELS, Crf, Decoder, luhn
 
 SPAN = T.StructType().add("kind", "string").add("start", "long").add("end", "long").add("base", "boolean")
@@ -216,10 +216,11 @@ def redact(df: DataFrame, model: Crf, text: str = "text") -> DataFrame:
 
     Of spans that overlap, the first (then the longer) is replaced, with all the others reach.
     """
-    found = find(df.select(F.struct(*[named(c) for c in df.columns]).alias("row"), named(text).alias("text")), model)
+    rows, names = plain(df)
+    found = find(rows, model, names[text])
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     state = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
-    given = F.col("row").getField(text)
+    given = F.col(names[text])
 
     def step(s, x):
         inside = x["start"] < s["at"]
@@ -228,4 +229,4 @@ def redact(df: DataFrame, model: Crf, text: str = "text") -> DataFrame:
 
     cut = F.aggregate(by_start, state, step, lambda s: F.concat(s["done"], F.call_function("substring", given, (s["at"] + 1).cast("int"), F.length(given))))
     clean = F.when(given.isNull() | (F.size("spans") == 0), given).otherwise(cut)
-    return found.select(*[(clean if c == text else F.col("row").getField(c)).alias(c) for c in df.columns])
+    return restored(found.withColumn(names[text], clean), names)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .common import WHITE, annotate, named
+from .common import WHITE, annotate, named, plain, restored
 
 MEASURES = T.StructType()
 for _name in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"):
@@ -134,6 +134,6 @@ def judge(measured: DataFrame, lang: str = "lang", source: str = "source") -> Da
 
 def apply_rules(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The documents of ``df`` that the rules keep, with their own columns."""
-    rows = df.select(F.struct(*map(named, df.columns)).alias("row"), named(text).alias("text"), named(lang).alias("lang"), named(source).alias("source"))
-    verdicts = judge(cut_lineage(measure(rows).drop("text")))
-    return verdicts.filter("kept").select(*[F.col("row").getField(c).alias(c) for c in df.columns])
+    rows, names = plain(df)
+    verdicts = judge(cut_lineage(measure(rows, names[text])), names[lang], names[source])
+    return restored(verdicts.filter("kept"), names)

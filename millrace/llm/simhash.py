@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .common import annotate, named, numbered
+from .common import annotate, named, numbered, restored
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Fingerprints of a cell that are paired; larger cells take the exact way by shared neighbours.
@@ -147,10 +147,10 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     Rows without an id come after those with one; among rows of one id the first written stays.
     """
-    rows = numbered(df)
-    given = rows.select("rid", F.col("row").getField(key).alias("id"), F.col("row").getField(text).alias("text"))
+    rows, names = numbered(df)
+    given = rows.select("rid", F.col(names[key]).alias("id"), F.col(names[text]).alias("text"))
     prints = cut_lineage(fingerprints(given).select("rid", "id", "fp"))
     order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "rid")
     firsts = prints.groupBy("fp").agg(F.min(order).alias("first")).join(_roots(prints), "fp")
     winners = firsts.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("rid"))
-    return rows.join(winners, "rid", "left_semi").select(*[F.col("row").getField(c).alias(c) for c in df.columns])
+    return restored(rows.join(winners, "rid", "left_semi"), names)

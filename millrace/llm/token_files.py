@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import blocks, named
+from .common import blocks, named, small_batches
 from .pieces import pack, pieces
 
 #: Fixed values of the seekable format: skippable frame, end of seek table, "has checksums".
@@ -154,6 +154,7 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str, end_id: int, key: s
 
     order = ["key", F.xxhash64("text")]
     rows = df.select(named(key).cast("long").alias("key"), named(text).cast("string").alias("text"))
+    small_batches(rows)
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     magic = struct.pack("<I", SEEKABLE).decode("latin-1")
     files = dealt.mapInArrow(run, "content binary").select(F.col("content").cast("string"))
