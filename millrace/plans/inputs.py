@@ -317,8 +317,11 @@ class Inputs:
         return self.spark.read.parquet(self.path(name))
 
     def spread(self, name: str, key: str) -> DataFrame:
-        """A given table for CPU-heavy work, dealt over the shuffle partitions by its key."""
-        return self[name].repartition(key)
+        """A given table for CPU-heavy work, dealt over all shuffle partitions by its key.
+
+        The number is given, or rows that are few bytes and much work would be put together again.
+        """
+        return self[name].repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), key)
 
     def sql(self, text: str) -> DataFrame:
         names = _mentions(text, BASE)
