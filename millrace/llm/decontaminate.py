@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import blocks, named, numbered, restored, small_batches
+from .common import blocks, named, plain, restored, small_batches
 
 WINDOW = 10
 #: Distinct windows that travel together: at most some 10 MB.
@@ -176,8 +176,13 @@ def contamination(rows: DataFrame, items: DataFrame, slop: int = 0, item: str =
 
 
 def decontaminate(df: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``df`` in which no benchmark window occurs."""
-    rows, names = numbered(df)
-    given = rows.select("rid", F.col(names[text]).cast("string").alias("text"))
-    hit = cut_lineage(contamination(given, items, item=item, item_text=item_text).filter(F.size("matches") > 0).select("rid"))
-    return restored(rows.join(hit, "rid", "left_anti"), names)
+    """The rows of ``df`` in which no benchmark window occurs.
+
+    Rows are told apart by the 64-bit hash of their text, on which alone the verdict
+    rests, so the table itself is not written again. ``df`` is read twice: written, not computed.
+    """
+    rows, names = plain(df)
+    texts = F.col(names[text]).cast("string")
+    hit = contamination(rows.select(F.xxhash64(texts).alias("rid"), texts.alias("text")), items, item=item, item_text=item_text)
+    hit = cut_lineage(hit.filter(F.size("matches") > 0).select("rid").distinct())
+    return restored(rows.withColumn("rid", F.xxhash64(texts)).join(hit, "rid", "left_anti"), names)

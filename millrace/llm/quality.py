@@ -115,9 +115,10 @@ def limits(measured: DataFrame, lang: str = "lang", source: str = "source") -> D
 
     own = quartiles(sketches, ["lang", "source"], "own")
     tongue = quartiles(sketches, ["lang"], "lang").withColumnRenamed("lang", "tongue")
-    every = quartiles(sketches, [], "all").withColumn("one", F.lit(1))
-    joined = own.withColumn("one", F.lit(1)).join(tongue, F.col("lang").eqNullSafe(F.col("tongue"))).join(every, "one")
-    chosen = [F.when(F.col("own_n") >= LEAST, F.col(f"own_{s}")).when(F.col("lang_n") >= LEAST, F.col(f"lang_{s}")).otherwise(F.col(f"all_{s}")).alias(f"limit_{s}") for s in SIGNALS]
+    every = quartiles(sketches, [], "all").first()  # one number for each signal
+    whole = {s: F.lit(every[f"all_{s}"] if every else None).cast("double") for s in SIGNALS}
+    joined = own.join(tongue, F.col("lang").eqNullSafe(F.col("tongue")))
+    chosen = [F.when(F.col("own_n") >= LEAST, F.col(f"own_{s}")).when(F.col("lang_n") >= LEAST, F.col(f"lang_{s}")).otherwise(whole[s]).alias(f"limit_{s}") for s in SIGNALS]
     return joined.select("lang", "source", *chosen)
 
 
