@@ -29,7 +29,7 @@ from .pieces import NOT_PLAIN, pack, plain_pattern
 
 SHIFT = 24
 #: Distinct pre-tokens replayed together, and entries of either half of the cache.
-REPLAYED, CACHE = 50_000, 250_000
+REPLAYED, CACHE = 50_000, 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

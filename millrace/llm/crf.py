@@ -167,7 +167,7 @@ class Decoder:
             self.tables = np.concatenate([self.tables, self.model.weights[list(shown)].sum(0)[None]])
         return found
 
-    def number(self, words: list[str], most: int = 600_000) -> np.ndarray:
+    def number(self, words: list[str], most: int = 200_000) -> np.ndarray:
         known = self.known
         if len(known) > most:
             known.clear()
