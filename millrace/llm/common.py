@@ -36,6 +36,19 @@ def no_collector():
             gc.enable()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """`cut_lineage`, after which the shuffle files of what led there may go.
+
+    Spark removes them once the driver's collector has found that nothing refers to
+    them, which may be long after; asked for it does so now. For steps that shuffle
+    more than they write.
+    """
+    written = cut_lineage(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return written
+
+
 def named(name: str) -> Column:
     """A column by its exact name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")
