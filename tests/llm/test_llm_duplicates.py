@@ -106,6 +106,49 @@ def test_repeated_passages(spark):
     assert passages.repeated_passages(awkward(spark).limit(0)).count() == 0
 
 
+def longest_like(x, y):
+    """Words of the shorter side of the longest parts that are similar enough, by trying all of them."""
+    best = 0
+    ends = sorted({0, len(x)} | {k for k in range(1, len(x)) if (x[k] in y) != (x[k - 1] in y)})
+    for s in ends:
+        for e in ends:
+            if e - s >= 46:
+                a, b = set(x[s:e]), set(y[s:e])
+                best = max(best, (len(a & b) >= 0.8 * len(a | b)) * (e - s + 4))
+    return best
+
+
+@pytest.mark.parametrize("around", [0, 70])
+def test_edits_at_even_spacing_leave_a_passage(around):
+    rng = random.Random(7)
+    for n in range(60, 261, 9):
+        for edits in range(1, 6):
+            a = prose(rng, n).split()
+            b = list(a)
+            for k in range(edits):
+                b[(k + 1) * n // (edits + 1)] = f"edit{rng.randrange(10**6)}"
+            texts = [" ".join([f"{side}{k}" for k in range(around)] + ws + [f"{side}{k}" for k in range(around)]) for side, ws in (("a", a), ("b", b))]
+            x, y = map(passages.shingles, texts)
+            found = list(passages.verify(x, y))
+            assert max((min(e - s, q - p) + 4 for s, e, p, q, _ in found), default=0) >= longest_like(x.tolist(), y.tolist()), (n, edits)
+            assert all(min(e - s, q - p) >= passages.T and like >= 0.8 for s, e, p, q, like in found)
+
+
+def test_near_copies_with_short_pieces_have_rows(spark):
+    rng = random.Random(17)
+    rows, whole = [], []
+    for k, (n, places) in enumerate([(79, [39]), (131, [43, 87]), (257, [43, 86, 129, 172, 215]), (148, [104])]):
+        a = prose(rng, n).split()
+        b = list(a)
+        for p in places:
+            b[p] = f"edit{p}"
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        whole.append((2 * k, 2 * k + 1, n))
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    pairs = {(min(r.doc_id, r.class_id), max(r.doc_id, r.class_id)) for r in found if r.doc_id != r.class_id}
+    assert pairs == {(a, b) for a, b, _ in whole}
+
+
 def test_a_passage_of_very_many_texts_links_each_once(spark):
     rng = random.Random(9)
     shared = prose(rng, 60)
