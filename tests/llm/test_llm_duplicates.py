@@ -149,6 +149,21 @@ def test_near_copies_with_short_pieces_have_rows(spark):
     assert pairs == {(a, b) for a, b, _ in whole}
 
 
+def test_form_letters_with_the_same_filling_meet(spark):
+    rng = random.Random(23)
+    form = prose(rng, 68).split()
+
+    def letter(k, one, two):
+        notice = [*form[:22], one, *form[22:45], two, *form[45:]]
+        return " ".join([f"a{k}x{i}" for i in range(15)] + notice + [f"z{k}x{i}" for i in range(15)])
+
+    fillings = [(f"name{k}", f"day{k}") for k in range(300)]
+    rows = [(k, letter(k, *filling)) for k, filling in enumerate(fillings)] + [(1000 + k, letter(1000 + k, *fillings[k])) for k in range(0, 300, 10)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    whole = {r.doc_id for r in found if r.n_words >= 70 and r.class_id != r.doc_id} | {r.class_id for r in found if r.n_words >= 70 and r.class_id != r.doc_id}
+    assert {k for k in range(0, 300, 10)} | {1000 + k for k in range(0, 300, 10)} <= whole
+
+
 def test_a_passage_of_very_many_texts_links_each_once(spark):
     rng = random.Random(9)
     shared = prose(rng, 60)
