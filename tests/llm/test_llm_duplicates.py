@@ -164,6 +164,18 @@ def test_form_letters_with_the_same_filling_meet(spark):
     assert {k for k in range(0, 300, 10)} | {1000 + k for k in range(0, 300, 10)} <= whole
 
 
+def test_a_later_place_of_a_passage_is_linked_too(spark):
+    rng = random.Random(29)
+    texts = []
+    for _ in range(12):
+        shared = prose(rng, 60)
+        texts += [f"{prose(rng, 120)} {shared} {prose(rng, 120)} {shared} {prose(rng, 20)}", f"{prose(rng, 120)} {shared} {prose(rng, 20)}"]
+    found = passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for k in range(0, 24, 2):
+        places = {r.start for r in found if r.doc_id == k} | {r.class_start for r in found if r.class_id == k}
+        assert all(any(abs(s - p) <= 5 for s in places) for p in (120, 300)), (k, sorted(places))
+
+
 def test_a_passage_of_very_many_texts_links_each_once(spark):
     rng = random.Random(9)
     shared = prose(rng, 60)
