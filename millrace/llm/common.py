@@ -6,6 +6,7 @@ import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -127,6 +128,12 @@ def map_rows(df: DataFrame, columns: list[Column], names: list[str], text: Colum
     return given.mapInArrow(run, schema).toDF(*names, *outputs.fieldNames())
 
 
+def flat_numbers(column: pa.Array, kind=np.int32) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a binary column, and how many each row has."""
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False) // np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(column.to_pylist()), kind), sizes
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     if isinstance(kind, T.ArrayType):
         return pa.list_(_arrow(kind.elementType))

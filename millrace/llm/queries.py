@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, workdir
-from . import bpe, decontaminate, html_text, passages, pii, quality, simhash, token_counts, token_files, url_filter
+from . import bpe, clusters, decontaminate, html_text, passages, pii, quality, ranked, simhash, token_counts, token_files, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,3 +166,82 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(texts, vocabularies.path("word_bpe_49k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@register
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _clusters_sql(k: int, rounds: int) -> str:
+    """Every round as two steps: the nearest centroid of each vector, and the centroids that follow."""
+    steps = [f"""
+WITH kept AS MATERIALIZED (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = 64
+), cells AS MATERIALIZED (
+    SELECT vec_id, unnest(v) AS x, unnest(range(64)) AS i FROM kept
+), seeds AS (
+    SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k FROM kept
+), c0 AS MATERIALIZED (
+    SELECT k, i, x AS c FROM seeds JOIN cells USING (vec_id) WHERE k < {k}
+)"""]
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS (
+    SELECT vec_id, k, CAST(sum((x - c) * (x - c)) AS BIGINT) AS d FROM cells JOIN c{r} USING (i) GROUP BY ALL
+), a{r} AS MATERIALIZED (
+    SELECT vec_id, CAST(arg_min(k, d * {k} + k) AS INTEGER) AS k, min(d) AS d FROM d{r} GROUP BY vec_id
+)""")
+        steps.append(f"""s{r} AS (
+    SELECT k, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM cells JOIN a{r} USING (vec_id) GROUP BY k, i
+), c{r + 1} AS MATERIALIZED (
+    SELECT o.k, o.i, CASE WHEN n IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS c FROM c{r} o LEFT JOIN s{r} ON s{r}.k = o.k AND s{r}.i = o.i
+)""")
+    return ",\n".join(steps[:-1]) + f""", names AS (
+    SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY k
+)
+SELECT vec_id, k AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+    CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN names USING (k)
+"""
+
+
+ORACLES["op11_clusters"] = _clusters_sql(clusters.CENTROIDS, clusters.ROUNDS)
+
+
+@register
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLES["op12_ranked_search"] = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS rid, doc_id, {TERMS} AS w FROM documents
+), whole AS (
+    SELECT count_if(len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM docs
+), tfs AS (
+    SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM docs) AS places GROUP BY ALL
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM tfs, whole GROUP BY term, n_docs
+), lengths AS (
+    SELECT rid, doc_id, 100 - 90 + (90 * len(w) * n_docs) // n_terms AS m FROM docs, whole
+), asked AS (
+    SELECT item, item_id, unnest(list_distinct({TERMS})) AS term FROM (SELECT row_number() OVER () AS item, * FROM benchmark) AS items
+), scored AS (
+    SELECT item, item_id, rid, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+    FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN lengths USING (rid) GROUP BY item, item_id, rid, doc_id
+), best AS (
+    SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM best WHERE place <= 10
+"""
+
+
+@register
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.train(texts, table(spark, sf_dir, "labels").filter(~held_out))
+    scored = toxicity.score(texts, machine)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
