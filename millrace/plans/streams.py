@@ -23,25 +23,24 @@ def derived_stream(t, name, base):
     return t.spark.sql(placed(DERIVED[name], [base]), **{base: st.read_stream(t.spark, t.path(base))})
 
 
-SLICES = 3
+ARRIVALS = 3
 
 
-def sliced_events(t, work):
-    """The events as files in time order, one per micro-batch."""
-    bounds = t["events"].select(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [k / SLICES for k in range(1, SLICES)])).first()[0]
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    place = sum((F.when(at >= b, 1).otherwise(0) for b in bounds or []), F.lit(0))
-    for k in range(SLICES):
-        t["events"].filter(F.coalesce(place, F.lit(0)) == k).coalesce(1).write.mode("append").parquet(f"{work}/in")
-    return st.read_stream(t.spark, f"{work}/in", files_per_batch=1)
+def replayed_events(t, name, build):
+    """The events arrive in time order, in parts; the windows that ``build`` makes of them."""
+    parts = st.in_time_order(t["events"], "ts", ARRIVALS)
+    return st.replay(t.spark, parts, workdir(t.spark, name), "ts", build)
 
 
 @query("stream_dedup", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def stream_dedup(t):
-    """Every event is sent twice."""
+    """Every event is sent twice: in its part, and again in a second inbox."""
     work = workdir(t.spark, "stream-dedup")
-    sent = sliced_events(t, f"{work}/a").unionByName(sliced_events(t, f"{work}/b"))
-    st.drain(st.unique_rows(sent, "event_id", "ts", "1 hour"), f"{work}/out", f"{work}/checkpoint")
+    for part in st.in_time_order(t["events"], "ts", ARRIVALS):
+        for inbox in "ab":
+            part.write.mode("append").parquet(f"{work}/{inbox}")
+        sent = st.read_stream(t.spark, f"{work}/a").unionByName(st.read_stream(t.spark, f"{work}/b"))
+        st.drain(st.unique_rows(sent, "event_id", "ts", "1 hour"), f"{work}/out", f"{work}/checkpoint")
     return plain_times(t.spark.read.parquet(f"{work}/out"), "ts")
 
 
@@ -55,12 +54,7 @@ def stream_upsert(t):
 SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n_rows FROM events GROUP BY 1, 2, 3
 """)
 def stream_tumbling(t):
-    work = workdir(t.spark, "stream-tumbling")
-    events = sliced_events(t, work)
-    closed = st.run_closed(
-        t.spark, events, work, "ts",
-        lambda s: st.windowed_counts(s, "ts", "1 hour", "1 hour", None, ["event_type"]),
-    )
+    closed = replayed_events(t, "stream-tumbling", lambda s: st.windowed_counts(s, "ts", "1 hour", "1 hour", None, ["event_type"]))
     return plain_times(closed, "window_start", "window_end")
 
 
@@ -68,7 +62,7 @@ def stream_tumbling(t):
 def stream_window_balance(t):
     """Files out of time order, one a batch: rows in windows and rows too late are all rows."""
     work = workdir(t.spark, "stream-balance")
-    t["events"].repartition(SLICES, "event_id").write.parquet(f"{work}/in")
+    t["events"].repartition(ARRIVALS, "event_id").write.parquet(f"{work}/in")
     stream = st.read_stream(t.spark, f"{work}/in", files_per_batch=1)
     windows, late = st.windows_and_late(stream, work, "ts", "1 hour", lambda s: st.windowed_counts(s, "ts", "1 hour", "1 hour", None, ["event_type"]))
     parts = [t["events"].select(F.lit(1), F.lit(0)), windows.select(F.lit(0), "n_rows"), late.select(F.lit(0), F.lit(1))]
@@ -81,12 +75,7 @@ SELECT w AS window_start, w + INTERVAL 1 HOUR AS window_end, event_type, count(*
 FROM (SELECT event_type, unnest([time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(15 * k) FOR k IN range(4)]) AS w FROM events) AS e GROUP BY 1, 2, 3
 """)
 def stream_sliding(t):
-    work = workdir(t.spark, "stream-sliding")
-    events = sliced_events(t, work)
-    closed = st.run_closed(
-        t.spark, events, work, "ts",
-        lambda s: st.windowed_counts(s, "ts", "1 hour", "1 hour", "15 minutes", ["event_type"]),
-    )
+    closed = replayed_events(t, "stream-sliding", lambda s: st.windowed_counts(s, "ts", "1 hour", "1 hour", "15 minutes", ["event_type"]))
     return plain_times(closed, "window_start", "window_end")
 
 
@@ -96,12 +85,7 @@ numbered AS (SELECT *, sum(g) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUN
 SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_rows FROM numbered GROUP BY user_id, s
 """)
 def stream_sessions(t):
-    work = workdir(t.spark, "stream-sessions")
-    events = sliced_events(t, work)
-    closed = st.run_closed(
-        t.spark, events, work, "ts",
-        lambda s: st.session_counts(s, "ts", "1 hour", "6 hours", ["user_id"]),
-    )
+    closed = replayed_events(t, "stream-sessions", lambda s: st.session_counts(s, "ts", "1 hour", "6 hours", ["user_id"]))
     return plain_times(closed, "session_start", "session_end")
 
 
@@ -124,23 +108,26 @@ SELECT job_id, CASE WHEN state = 'FINISHED' AND ended <= deadline THEN 'finished
 FROM (SELECT job_id, state, ts + to_seconds(elapsed_s) AS ended, ts + to_seconds(300) AS deadline FROM alter_jobs) AS j
 """)
 def stream_job_monitor(t):
-    """Each job reports when it starts, while it runs, and how it stands after its elapsed time."""
-    jobs = derived_stream(t, "alter_jobs", "orders")
+    """Each job reports when it starts, while it runs, and how it stands after its elapsed time; the reports arrive in parts."""
     after = F.array(
         F.struct(F.lit(0).alias("s"), F.lit("PENDING").alias("state")),
         F.struct(F.floor(F.col("elapsed_s") / 2).cast("int").alias("s"), F.lit("RUNNING").alias("state")),
         F.struct(F.col("elapsed_s").cast("int").alias("s"), F.col("state")),
     )
-    reports = jobs.select("job_id", "ts", F.explode(after).alias("r")).select(
+    reports = t["alter_jobs"].select("job_id", F.col("ts").cast("timestamp").alias("ts"), F.explode(after).alias("r")).select(
         "job_id", F.timestamp_micros(F.unix_micros("ts") + F.col("r.s").cast("long") * 1_000_000).alias("ts"), F.col("r.s").alias("elapsed_s"), "r.state"
     )
-    closed = st.run_closed(
-        t.spark, reports, workdir(t.spark, "stream-jobs"), "ts", lambda s: st.monitor_jobs(s, "ts", "1 hour", 0)
-    )
-    return plain_times(closed, "decided_at")
+    work = workdir(t.spark, "stream-jobs")
+    for part in st.in_time_order(reports, "ts", ARRIVALS):
+        part.write.mode("append").parquet(f"{work}/in")
+        st.monitor_jobs(st.read_stream(t.spark, f"{work}/in"), work, "ts", "1 hour", 0)
+    return plain_times(st.job_outcomes(t.spark, work, until=st.FAR), "decided_at")
 
 
 @query("stream_aggregate_key", EVENT_DAYS)
 def stream_aggregate_key(t):
     work = workdir(t.spark, "stream-aggregate")
-    return st.aggregate_stream(event_measures(sliced_events(t, work)), work, ["day", "event_type"], VIEWS)
+    for part in st.in_time_order(t["events"], "ts", ARRIVALS):
+        part.write.mode("append").parquet(f"{work}/in")
+        merged = st.aggregate_stream(event_measures(st.read_stream(t.spark, f"{work}/in")), work, ["day", "event_type"], VIEWS)
+    return merged

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,20 +23,38 @@ def build_session(master: str, app: str = "millrace", partitions: int = 8) -> Sp
     )
 
 
+#: Temporary folders of local sessions without a shared one, by application.
+_LOCAL: dict[str, str] = {}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session with other settings for a while; the caller's come back."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can see, from ``spark.checkpoint.dir``.
 
     A machine-local folder is made only in local mode, where driver and
     executors are one process.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="millrace-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="millrace-")
+    return _LOCAL[app]
 
 
 def workdir(spark: SparkSession, name: str) -> str:

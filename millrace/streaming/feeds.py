@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import settings
+
+FAR = "2200-01-01 00:00:00"
 SETTINGS = {
     # State may outgrow the heap.
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -34,9 +37,8 @@ def _start(writer, checkpoint: str) -> None:
 
 def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
     """Run the stream over all that is there now and append its rows to a parquet folder."""
-    for name, value in SETTINGS.items():
-        stream.sparkSession.conf.set(name, value)
-    _start(stream.writeStream.format("parquet").outputMode(mode).option("path", out), checkpoint)
+    with settings(stream.sparkSession, SETTINGS):
+        _start(stream.writeStream.format("parquet").outputMode(mode).option("path", out), checkpoint)
 
 
 def drain_batches(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -78,3 +80,31 @@ def close_with(spark: SparkSession, folder: str, like: DataFrame, at: str, when:
     """One row far in the future, which lifts the watermark past every open window."""
     columns = [F.lit(when).cast(f.dataType).alias(f.name) if f.name == at else F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema.fields]
     spark.range(1).select(*columns).write.mode("append").parquet(folder)
+
+
+def in_time_order(df: DataFrame, at: str, n: int) -> list[DataFrame]:
+    """The rows cut by time into ``n`` parts of about equal size; rows without a time come first."""
+    micros, kind = F.unix_micros(F.col(at).cast("timestamp")), df.schema[at].dataType
+    bounds = df.agg(F.percentile_approx(micros, [k / n for k in range(1, n)])).first()[0] or []
+    edges = [F.timestamp_micros(F.lit(b)).cast(kind) for b in bounds]
+    parts = [df.filter((F.col(at) >= low) & (F.col(at) < high)) for low, high in zip(edges, edges[1:])]
+    return [df.filter(F.col(at).isNull() | (F.col(at) < edges[0])), *parts, df.filter(F.col(at) >= edges[-1])] if edges else [df]
+
+
+def replay(spark: SparkSession, arrivals: list[DataFrame], work: str, at: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream says of rows that arrive one part after another, all of its windows closed.
+
+    Each part is written by all its tasks and drained by a run of its own, from the
+    checkpoint of the run before.
+    """
+    both = None
+    with settings(spark, {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}):
+        for part in arrivals:
+            part.write.mode("append").parquet(f"{work}/in")
+            if both is None:
+                stream = read_stream(spark, f"{work}/in")
+                both = stream.unionByName(closing_stream(spark, f"{work}/closing", stream))
+            drain(build(both), f"{work}/out", f"{work}/checkpoint")
+    close_with(spark, f"{work}/closing", stream, at, FAR)
+    drain(build(both), f"{work}/out", f"{work}/checkpoint")
+    return spark.read.parquet(f"{work}/out")

@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from functools import partial
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.keymodels import aggregate_key, fold_changes, merge_aggregates
 from ..operators.workload import JOB_OUTCOMES
-from .feeds import close_with, closing_stream, drain, drain_batches, read_folded, read_stream, write_batch, write_folded
-
-FAR = "2200-01-01 00:00:00"
+from .feeds import FAR, close_with, closing_stream, drain, drain_batches, in_time_order, read_folded, read_stream, replay, write_batch, write_folded
 
 
 def run_closed(spark: SparkSession, stream: DataFrame, work: str, at: str, build) -> DataFrame:
@@ -118,63 +115,79 @@ def windows_and_late(stream: DataFrame, work: str, at: str, delay: str, build) -
     return run_closed(spark, kept, f"{work}/windows", at, build), rows.filter(F.col("late") | F.col(at).isNull()).drop("late", "batch_id")
 
 
-def monitor_jobs(stream: DataFrame, at: str, delay: str, limit_s: int, remember_s: int = 7 * 86_400) -> DataFrame:
-    """(job_id, outcome, decided_at): one outcome per job, the first of a terminal report and its time limit.
+#: The latest time of all batches so far, in microseconds.
+SEEN = "latest long, batch_id long"
+
+
+def _job_step(known: DataFrame | None, reports: DataFrame, passed: Column, remember_s: int) -> DataFrame:
+    """Jobs known before and reported now: open ones, those decided now (``fresh``) and those remembered."""
+    rows = reports.withColumns({"outcome": F.lit(None).cast("string"), "decided_us": F.lit(None).cast("long"), "until_us": F.lit(None).cast("long")})
+    if known is not None:
+        rows = known.filter(F.coalesce(F.col("until_us") > passed, F.lit(True))).drop("fresh").withColumns(
+            {"ended": F.lit(None).cast(reports.schema["ended"].dataType)}
+        ).unionByName(rows)
+    jobs = rows.groupBy("job_id").agg(F.min("deadline").alias("deadline"), F.min("ended").alias("ended"), *(F.max(c).alias(c) for c in ("outcome", "decided_us", "until_us")))
+    in_time = F.col("ended.micros") <= F.col("deadline")
+    over = F.col("ended").isNotNull() | F.coalesce(F.col("deadline") <= passed, F.lit(False))
+    now = F.when(in_time, F.col("ended.terminal")).when(over, "timed_out")
+    decided = F.when(in_time, F.col("ended.micros")).otherwise(F.col("deadline"))
+    fresh = F.col("outcome").isNull() & now.isNotNull()
+    return jobs.withColumn("fresh", fresh).select(
+        "job_id", "deadline", "fresh",
+        F.coalesce("outcome", now).alias("outcome"),
+        F.when(F.col("fresh"), decided).otherwise(F.col("decided_us")).alias("decided_us"),
+        F.when(F.col("fresh"), F.greatest(decided, passed) + remember_s * 1_000_000).otherwise(F.col("until_us")).alias("until_us"),
+    )
+
+
+def monitor_jobs(stream: DataFrame, work: str, at: str, delay: str, limit_s: int, remember_s: int = 7 * 86_400) -> None:
+    """Decide each job once: by the first of a terminal report and its time limit.
 
     A job's limit runs out ``limit_s`` after its start, which each report tells by its time
-    and the seconds elapsed; the earliest counts. Decided jobs are remembered for
-    ``remember_s``, so later reports do not decide them again. Reports without an id or
-    a time are left out.
+    and the seconds elapsed; the earliest counts. It has run out once the latest report
+    of the earlier batches, less the delay, is past it. Decided jobs are remembered for
+    ``remember_s``, so later reports do not decide them again. Reports without an id or a
+    time are left out. `job_outcomes` reads what was decided.
+
+    A batch is folded to one row a job, merged with the table of open and remembered jobs
+    of the batch before, and written as the next one; two such tables are kept in turn.
+    A repeated batch reads the same table and replaces what it wrote.
     """
-    limit = limit_s if limit_s > 0 else 300
-    left = F.greatest(F.lit(limit) - F.col("elapsed_s"), F.lit(0))
-    reports = stream.withWatermark(at, delay).select(
-        "job_id", at, F.unix_micros(at).alias("micros"), (F.unix_micros(at) + left * 1_000_000).alias("deadline"),
-        F.when(F.upper("state").isin(list(JOB_OUTCOMES)), F.lower("state")).alias("terminal"),
-    )
+    spark, limit = stream.sparkSession, limit_s if limit_s > 0 else 300
     id_type = stream.schema["job_id"].dataType.simpleString()
+    jobs = f"job_id {id_type}, deadline long, fresh boolean, outcome string, decided_us long, until_us long"
 
-    def settle(key, batches, state):
-        if state.hasTimedOut:
-            decided, _, deadline = state.get
-            if decided:
-                state.remove()
-                return
-            yield from close(key, state, "timed_out", deadline)
-            return
-        decided, outcome, deadline = state.get if state.exists else (False, None, None)
-        ended = None
-        for rows in batches:
-            rows = rows[rows["micros"].notna()]
-            if not len(rows):
-                continue
-            deadline = min(int(rows["deadline"].min()), deadline if deadline is not None else int(rows["deadline"].min()))
-            done = rows[rows["terminal"].notna()].sort_values(["micros", "terminal"])
-            if len(done):
-                first = (int(done["micros"].iloc[0]), done["terminal"].iloc[0])
-                ended = first if ended is None else min(ended, first)
-        if decided or deadline is None or key[0] is None:
-            return
-        if ended and ended[0] <= deadline:
-            yield from close(key, state, ended[1], ended[0])
-        elif ended or deadline // 1000 <= state.getCurrentWatermarkMs():
-            yield from close(key, state, "timed_out", deadline)
-        else:
-            state.update((False, None, deadline))
-            state.setTimeoutTimestamp(deadline // 1000 + 1)
-
-    def close(key, state, outcome, micros):
-        state.update((True, outcome, micros))
-        state.setTimeoutTimestamp(max(micros // 1000, state.getCurrentWatermarkMs()) + remember_s * 1000)
-        yield pd.DataFrame({"job_id": [key[0]], "outcome": [outcome], "decided_us": [micros]})
-
-    settled = reports.groupBy("job_id").applyInPandasWithState(
-        settle, f"job_id {id_type}, outcome string, decided_us long", "decided boolean, outcome string, micros long", "append", "EventTimeTimeout"
-    )
-    return settled.select("job_id", "outcome", F.timestamp_micros("decided_us").alias("decided_at"))
+    def apply(batch, batch_id):
+        turn, before, known, latest = f"turn={batch_id % 2}", f"turn={(batch_id - 1) % 2}", None, None
+        if batch_id:
+            known = spark.read.schema(jobs).parquet(f"{work}/jobs/{before}")
+            latest = spark.read.schema(SEEN).parquet(f"{work}/seen/{before}").first()["latest"]  # one value
+        micros = F.unix_micros(F.col(at).cast("timestamp"))
+        left = F.greatest(F.lit(limit) - F.col("elapsed_s"), F.lit(0))
+        terminal = F.when(F.upper("state").isin(list(JOB_OUTCOMES)), F.struct(micros.alias("micros"), F.lower("state").alias("terminal")))
+        rows = batch.filter(F.col("job_id").isNotNull() & F.col(at).isNotNull())
+        reports = rows.groupBy("job_id").agg(F.min(micros + left * 1_000_000).alias("deadline"), F.min(terminal).alias("ended"))
+        passed = F.unix_micros(F.timestamp_micros(F.lit(latest).cast("long")) - F.expr(f"INTERVAL {delay}"))
+        _job_step(known, reports, passed, remember_s).write.mode("overwrite").parquet(f"{work}/jobs/{turn}")
+        fresh = spark.read.schema(jobs).parquet(f"{work}/jobs/{turn}").filter("fresh")
+        write_batch(fresh.select("job_id", "outcome", "decided_us"), f"{work}/outcomes", batch_id)
+        last = batch.agg(F.greatest(F.max(micros), F.lit(latest).cast("long")).alias("latest"), F.lit(batch_id).cast("long").alias("batch_id"))
+        last.write.mode("overwrite").parquet(f"{work}/seen/{turn}")
+
+    drain_batches(stream, apply, f"{work}/checkpoint")
+
+
+def job_outcomes(spark: SparkSession, work: str, until: str | None = None) -> DataFrame:
+    """(job_id, outcome, decided_at) of the jobs decided so far; with ``until``, also those whose limit has run out by then."""
+    rows = spark.read.parquet(f"{work}/outcomes").drop("batch_id")
+    if until:
+        turn = spark.read.parquet(f"{work}/seen").agg(F.max_by("turn", "batch_id")).first()[0]
+        left = spark.read.parquet(f"{work}/jobs/turn={turn}").filter(F.col("outcome").isNull() & (F.timestamp_micros("deadline") <= F.lit(until).cast("timestamp")))
+        rows = rows.unionByName(left.select("job_id", F.lit("timed_out").alias("outcome"), F.col("deadline").alias("decided_us")))
+    return rows.select("job_id", "outcome", F.timestamp_micros("decided_us").alias("decided_at"))
 
 
 __all__ = [
-    "aggregate_stream", "drain", "monitor_jobs", "read_stream", "run_closed", "session_counts",
+    "FAR", "aggregate_stream", "drain", "in_time_order", "job_outcomes", "monitor_jobs", "read_stream", "replay", "run_closed", "session_counts",
     "split_late", "unique_rows", "upsert_stream", "windowed_counts", "windows_and_late",
 ]

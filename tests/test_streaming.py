@@ -1,5 +1,6 @@
 """Streams over several micro-batches, with restarts and repeated batches."""
 
+import pytest
 from compare import spark_rows
 from conftest import SF_DIR
 from pyspark.sql import functions as F
@@ -84,7 +85,8 @@ def test_job_monitor_over_several_reports(spark):
     ]
     df = spark.createDataFrame(reports, "job_id long, state string, elapsed_s long, ts string")
     df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{work}/in")
-    closed = st.run_closed(spark, feeds.read_stream(spark, f"{work}/in"), work, "ts", lambda s: st.monitor_jobs(s, "ts", "1 hour", 0))
+    st.monitor_jobs(feeds.read_stream(spark, f"{work}/in"), work, "ts", "1 hour", 0)
+    closed = st.job_outcomes(spark, work, until=st.FAR)
     assert {(r.job_id, r.outcome, str(r.decided_at)) for r in closed.collect()} == {
         (1, "finished", "2024-01-01 00:01:30"), (2, "timed_out", "2024-01-01 00:05:00"),
         (3, "timed_out", "2024-01-01 00:00:00"), (4, "cancelled", "2024-01-01 00:00:00"),
@@ -103,10 +105,94 @@ def test_job_monitor_over_batches(spark):
     for rows in batches:
         df = spark.createDataFrame(rows, "job_id long, state string, elapsed_s long, ts string")
         df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(f"{work}/in")
-    closed = st.run_closed(spark, feeds.read_stream(spark, f"{work}/in", 1), work, "ts", lambda s: st.monitor_jobs(s, "ts", "1 hour", 0))
+    st.monitor_jobs(feeds.read_stream(spark, f"{work}/in", 1), work, "ts", "1 hour", 0)
+    assert {r.job_id for r in st.job_outcomes(spark, work).collect()} == {1, 2, 3}
+    closed = st.job_outcomes(spark, work, until=st.FAR)
     assert sorted((r.job_id, r.outcome) for r in closed.collect()) == [(1, "finished"), (2, "timed_out"), (3, "cancelled")]
 
 
+JOB_BATCHES = [
+    [(1, "RUNNING", 0, "2024-01-01 00:00:00"), (2, "RUNNING", 0, "2024-01-01 00:00:00"), (4, "RUNNING", 0, "2024-01-01 00:00:00")],
+    [(1, "FINISHED", 200, "2024-01-01 00:03:20"), (3, "RUNNING", 0, "2024-01-01 02:00:00")],
+    [(3, "RUNNING", 60, "2024-01-01 02:01:00")],
+    [(2, "FINISHED", 8000, "2024-01-01 02:13:20"), (3, "CANCELLED", 100, "2024-01-01 02:01:40"), (1, "RUNNING", 9000, "2024-01-01 02:30:00")],
+    [(5, "PENDING", 0, "2024-01-03 00:00:00")],
+    [(1, "FINISHED", 400, "2024-01-01 00:06:40"), (6, "RUNNING", 0, "2024-01-03 00:00:01")],
+]
+
+
+def job_rows(spark, rows):
+    df = spark.createDataFrame(rows, "job_id long, state string, elapsed_s long, ts string")
+    return df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def outcomes_of(spark, work, until=None):
+    return sorted((r.job_id, r.outcome, str(r.decided_at)) for r in st.job_outcomes(spark, work, until).collect())
+
+
+def test_job_monitor_restarts_between_all_batches(spark):
+    """One run over six batches says what six runs of one batch say, and a job is decided once."""
+    whole, apart = workdir(spark, "t-jobs"), workdir(spark, "t-jobs")
+    for rows in JOB_BATCHES:
+        for work in (whole, apart):
+            job_rows(spark, rows).coalesce(1).write.mode("append").parquet(f"{work}/in")
+        st.monitor_jobs(feeds.read_stream(spark, f"{apart}/in", 1), apart, "ts", "1 hour", 0)
+    st.monitor_jobs(feeds.read_stream(spark, f"{whole}/in", 1), whole, "ts", "1 hour", 0)
+    assert outcomes_of(spark, apart) == outcomes_of(spark, whole) == [
+        (1, "finished", "2024-01-01 00:03:20"), (2, "timed_out", "2024-01-01 00:05:00"),
+        (3, "cancelled", "2024-01-01 02:01:40"), (4, "timed_out", "2024-01-01 00:05:00"),
+    ]
+    assert [r[0] for r in outcomes_of(spark, whole, st.FAR)] == [1, 2, 3, 4, 5, 6]
+
+
+def test_job_monitor_repeats_a_batch_that_failed(spark, monkeypatch):
+    """The table of jobs is written, then the batch dies: the next run repeats it."""
+    work = workdir(spark, "t-jobs")
+    for rows in JOB_BATCHES[:2]:
+        job_rows(spark, rows).coalesce(1).write.mode("append").parquet(f"{work}/in")
+    with monkeypatch.context() as broken:
+        broken.setattr(st, "write_batch", lambda *a: (_ for _ in ()).throw(OSError("lost")) if a[2] == 1 else feeds.write_batch(*a))
+        with pytest.raises(Exception, match="lost"):
+            st.monitor_jobs(feeds.read_stream(spark, f"{work}/in", 1), work, "ts", "1 hour", 0)
+    assert outcomes_of(spark, work) == []
+    st.monitor_jobs(feeds.read_stream(spark, f"{work}/in", 1), work, "ts", "1 hour", 0)
+    assert outcomes_of(spark, work) == [(1, "finished", "2024-01-01 00:03:20")]
+
+
+def test_job_monitor_forgets_decided_jobs_by_age(spark):
+    work = workdir(spark, "t-jobs")
+    for rows in JOB_BATCHES:
+        job_rows(spark, rows).coalesce(1).write.mode("append").parquet(f"{work}/in")
+    st.monitor_jobs(feeds.read_stream(spark, f"{work}/in", 1), work, "ts", "1 hour", 0, remember_s=3600)
+    kept = {r.job_id for r in spark.read.parquet(f"{work}/jobs/turn=1").collect()}
+    assert kept == {1, 5, 6}  # job 1 was reported again after it had been forgotten
+
+
+def test_monitor_keeps_python_out_of_its_plans(spark, monkeypatch):
+    plans, work = [], workdir(spark, "t-jobs")
+    step = st._job_step
+    monkeypatch.setattr(st, "_job_step", lambda *a: plans.append(df := step(*a)) or df)
+    job_rows(spark, JOB_BATCHES[0]).write.parquet(f"{work}/in")
+    st.monitor_jobs(feeds.read_stream(spark, f"{work}/in"), work, "ts", "1 hour", 0)
+    assert plans and not any("Python" in (text := p._jdf.queryExecution().executedPlan().toString()) or "InPandas" in text for p in plans)
+
+
+def test_parts_in_time_order_hold_all_rows(spark, inputs):
+    events = inputs["events"].select("event_id", "ts")
+    blank = events.limit(5).withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    parts = feeds.in_time_order(events.unionByName(blank), "ts", 3)
+    ends = [p.agg(F.min("ts"), F.max("ts"), F.count("*")).first() for p in parts]
+    assert sum(e[2] for e in ends) == events.count() + 5 and all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+    assert [p.count() for p in feeds.in_time_order(events.limit(0), "ts", 3)] == [0]
+
+
+def test_session_settings_come_back(spark, inputs):
+    names = [*feeds.SETTINGS, "spark.sql.streaming.noDataMicroBatches.enabled"]
+    before = [spark.conf.get(n, None) for n in names]
+    QUERIES["stream_tumbling"](spark, SF_DIR)
+    assert [spark.conf.get(n, None) for n in names] == before
+
+
 def test_late_rows_after_batches_without_times(spark):
     work = workdir(spark, "t-late")
     for rows in ([(1, None)], [(2, "2024-01-05 00:00:00")], [(3, "2024-01-01 00:00:00"), (4, None)]):
