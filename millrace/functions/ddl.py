@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quoting import QUOTED, hide_escapes, last_of_each, outside, quote, quoted_pairs, unquote
+from .quoting import QUOTED, hide_escapes, last_of_each, let, outside, quote, quoted_pairs, unquote
 
 # The integer types a server prints with a display width.
 WIDTH_TYPES = "TINYINT|SMALLINT|INT|BIGINT|LARGEINT"
@@ -52,11 +52,8 @@ def column_ddl(name: Column, type_: Column, nullable: Column, dflt: Column, comm
     )
 
 
-def _split_block(hidden: Column) -> tuple[Column, Column]:
-    """What stands between the first parenthesis outside quotes and the one that closes it, and what follows."""
-    # Quoted texts become as many blanks, so that places agree.
-    blank = F.array_join(F.transform(F.split(hidden, '"'), lambda p, i: F.when(i % 2 == 1, F.repeat(F.lit(" "), F.length(p))).otherwise(p)), '"')
-    pieces = F.split(blank, r"(?<=[()])")
+def _split_block(hidden: Column) -> Column:
+    """What stands between the first parenthesis outside quotes and the one that closes it (``inside``), and what follows (``tail``)."""
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("first"), F.lit(0).alias("last"))
 
     def step(s, piece):
@@ -66,14 +63,23 @@ def _split_block(hidden: Column) -> tuple[Column, Column]:
         last = F.when((s["last"] == 0) & (first > 0) & (depth == 0), at).otherwise(s["last"])
         return F.struct(depth.alias("depth"), at.alias("at"), first.alias("first"), last.alias("last"))
 
-    ends = F.aggregate(pieces, start, step)
-    inside = F.call_function("substring", hidden, ends["first"] + 1, F.greatest(ends["last"] - ends["first"] - 1, F.lit(0)))
-    return inside, F.when(ends["last"] > 0, F.call_function("substring", hidden, ends["last"] + 1, F.length(hidden))).otherwise("")
+    def ends(text):
+        # Quoted texts become as many blanks, so that places agree.
+        blank = F.array_join(F.transform(F.split(text, '"'), lambda p, i: F.when(i % 2 == 1, F.repeat(F.lit(" "), F.length(p))).otherwise(p)), '"')
+        return F.aggregate(F.split(blank, r"(?<=[()])"), start, step)
+
+    def parts(x):
+        text, first, last = x["text"], x["ends"]["first"], x["ends"]["last"]
+        inside = F.call_function("substring", text, first + 1, F.greatest(last - first - 1, F.lit(0)))
+        tail = F.when(last > 0, F.call_function("substring", text, last + 1, F.length(text))).otherwise("")
+        return F.struct(inside.alias("inside"), tail.alias("tail"))
+
+    return let(let(hidden, lambda text: F.struct(text.alias("text"), ends(text).alias("ends"))), parts)
 
 
 def parse_columns(corpus: DataFrame, key: str, ddl: str) -> DataFrame:
     """One row per column of each DDL text, numbered in order; one column a line or several."""
-    taken = corpus.select(key, _split_block(hide_escapes(F.col(ddl)))[0].alias("block"))
+    taken = corpus.select(key, _split_block(hide_escapes(F.col(ddl)))["inside"].alias("block"))
     one_each = outside(F.col("block"), lambda p: F.regexp_replace(p, r",\s*+`", ",\n`"))
     lines = F.filter(F.split(one_each, "\n"), lambda line: line.rlike(COLUMN_LINE))
 
@@ -94,8 +100,9 @@ def parse_columns(corpus: DataFrame, key: str, ddl: str) -> DataFrame:
 def parse_tables(corpus: DataFrame, key: str, ddl: str) -> DataFrame:
     """Table-level clauses, on lines of their own or not; properties as a map (the last of a key), key columns as an array."""
     # All clauses follow the column block.
-    taken = corpus.select(key, F.col(ddl).alias("ddl"), _split_block(hide_escapes(F.col(ddl)))[1].alias("tail"))
+    taken = corpus.select(key, F.col(ddl).alias("ddl"), _split_block(hide_escapes(F.col(ddl)))["tail"].alias("tail"))
     props = F.regexp_extract("tail", r"(?is)\bPROPERTIES\s*\((.*)\)", 1)
+    # The key models a table clause may name.
     key_clause = r"(?i)\b(DUPLICATE KEY|AGGREGATE KEY|UNIQUE KEY|PRIMARY KEY)\s*\(([^)]*+)\)"
     key_list = F.regexp_extract("tail", key_clause, 2)
 

@@ -178,9 +178,10 @@ SELECT table_id, index_name, column_name, CASE WHEN contains(raw_type, '(') THEN
 """)
 def strip_index_type(t):
     kind, props = text.strip_index_type(F.col("raw_type"))
-    return t["index_defs"].select(
-        "table_id", "index_name", "column_name", kind.alias("index_type"),
-        F.try_element_at(props, F.lit("gram_num")).alias("gram_num"), F.try_element_at(props, F.lit("bloom_filter_fpp")).alias("bloom_filter_fpp"),
+    stripped = t["index_defs"].select("table_id", "index_name", "column_name", kind.alias("index_type"), props.alias("props"))
+    return stripped.select(
+        "table_id", "index_name", "column_name", "index_type",
+        F.try_element_at("props", F.lit("gram_num")).alias("gram_num"), F.try_element_at("props", F.lit("bloom_filter_fpp")).alias("bloom_filter_fpp"),
     )
 
 

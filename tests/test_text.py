@@ -1,5 +1,7 @@
 """Scalar rules, case by case."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -195,3 +197,25 @@ def test_cast_or_null(spark, value, target, want):
     assert got == plain
     if target != "decimal(4,2)":
         assert got == want
+
+
+def wide_ddl(n):
+    """A table of ``n`` columns and ``n`` properties, two keys of which are repeated."""
+    columns = ",\n".join(f'  `c{i}` varchar(20) NOT NULL COMMENT "c (x) {i}"' for i in range(n))
+    props = ", ".join(f'"k{i % (n - 2)}" = "v{i}"' for i in range(n))
+    return f"CREATE TABLE `t` (\n{columns}\n) ENGINE=OLAP\nDUPLICATE KEY(`c0`)\nDISTRIBUTED BY HASH(`c0`) BUCKETS 4\nPROPERTIES ({props})"
+
+
+@pytest.mark.parametrize("n", [50, 500, 5000])
+def test_parsing_costs_grow_with_the_text(spark, n):
+    """5,000 columns and properties a table: a step per pair of entries would take hours here."""
+    df = spark.createDataFrame([(k, wide_ddl(n)) for k in range(4)], "id long, ddl string")
+    began = time.perf_counter()
+    tables = ddl.parse_tables(df, "id", "ddl").collect()
+    columns = ddl.parse_columns(df, "id", "ddl").collect()
+    kind, props = text.strip_index_type(F.concat(F.lit("NGRAMBF"), F.regexp_extract("ddl", r"(?s)PROPERTIES (\(.*\))", 1)))
+    stripped = df.select(kind.alias("kind"), props.alias("props")).collect()
+    assert time.perf_counter() - began < 30
+    assert all(len(r.properties) == n - 2 and r.properties["k0"] == f"v{n - 2}" and r.properties["k1"] == f"v{n - 1}" and r.properties["k2"] == "v2" for r in tables)
+    assert len(columns) == 4 * n and {r.comment for r in columns if r.ord == n} == {f"c (x) {n - 1}"}
+    assert all(r.kind == "NGRAMBF" and r.props == {k.lower(): v for k, v in tables[0].properties.items()} for r in stripped)
