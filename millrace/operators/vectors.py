@@ -1,10 +1,9 @@
-"""Nearest vectors by cosine: exact and approximate."""
+"""Nearest vectors by cosine: exact, and by short codes of every vector."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -21,6 +20,9 @@ from ..session import cut_lineage
 
 QUERY_BLOCK = 256  # queries that travel with a task
 TIE_DIGITS = 12  # scores that differ less are ties: sums of products are no more exact
+SAMPLED = 8192  # vectors that code books are fitted on, about
+WORDS, PART, FIT_ROUNDS = 256, 4, 8  # words of a book, components a word stands for, rounds of fitting
+CANDIDATES = 20  # vectors scored exactly for each one asked for
 
 
 def label_centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:
@@ -34,9 +36,8 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-def _best(ids: np.ndarray, vectors: np.ndarray, query_ids, queries: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest of one block per query, by score and then id."""
-    scores = np.round(_unit(vectors) @ queries.T, TIE_DIGITS)
+def _best(ids: np.ndarray, scores: np.ndarray, query_ids, k: int) -> pd.DataFrame:
+    """The k best of one block per query, by score and then id."""
     floor = np.partition(scores, len(ids) - k, axis=0)[len(ids) - k] if len(ids) > k else scores.min(axis=0)
     kept = []
     for j, query_id in enumerate(query_ids):
@@ -46,6 +47,35 @@ def _best(ids: np.ndarray, vectors: np.ndarray, query_ids, queries: np.ndarray,
     return pd.concat(kept, ignore_index=True)
 
 
+def _each_task_best(source: DataFrame, queries: DataFrame, k: int, scorer) -> DataFrame:
+    """(query_id, id, score): each task's k best of the rows (id, content) per query.
+
+    The queries travel with the tasks, block after block; ``scorer`` makes of a block's
+    query matrix a function from a column of contents to scores, rows by queries.
+    """
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", source.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    arrow_schema = to_arrow_schema(schema)
+
+    def scored(held: list) -> DataFrame:
+        query_ids, matrix = [r.query_id for r in held], _unit(_matrix([r.query for r in held]))
+
+        def run(batches):
+            best, score = None, scorer(matrix)
+            for batch in batches:
+                if batch.num_rows:
+                    found = _best(batch.column(0).to_numpy(zero_copy_only=False), np.round(score(batch.column(1)), TIE_DIGITS), query_ids, k)
+                    best = found if best is None else pd.concat([best, found], ignore_index=True)
+                    order = best.sort_values(["query_id", "score", "id"], ascending=[True, False, True])
+                    best = order.groupby("query_id", sort=False).head(k)
+            if best is not None:
+                yield pa.RecordBatch.from_pandas(best, schema=arrow_schema, preserve_index=False)
+
+        return source.mapInArrow(run, schema)
+
+    parts = [scored(held) for held in _blocks(queries)]
+    return reduce(DataFrame.unionByName, parts) if parts else source.sparkSession.createDataFrame([], schema)
+
+
 def _matrix(arrays) -> np.ndarray:
     return np.stack([np.asarray(a, dtype=np.float64) for a in arrays])
 
@@ -73,69 +103,89 @@ def _blocks(queries: DataFrame) -> Iterator[list]:
 def nearest(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
     """Exact k nearest vectors by cosine of each (query_id, query).
 
-    The queries travel with the tasks, block after block; for each block every task
-    scores its vectors as one matrix product and keeps k per query, so the shuffle
-    carries tasks × queries × k rows.
+    Every task scores its vectors as one matrix product for each block of queries and
+    keeps k per query, so the shuffle carries tasks × queries × k rows.
     """
     source = vectors.select(F.col(key).alias("id"), F.col(vector).alias("vector")).filter("vector IS NOT NULL")
-    id_type = source.schema["id"].dataType
-    query_type = queries.schema["query_id"].dataType
-    schema = T.StructType([T.StructField("query_id", query_type), T.StructField("id", id_type), T.StructField("score", T.DoubleType())])
-    arrow_schema = to_arrow_schema(schema)
+    return _ranked(_each_task_best(source, queries, k, lambda matrix: lambda column: _unit(_arrow_matrix(column)) @ matrix.T), k)
 
-    def scored(held: list) -> DataFrame:
-        query_ids = [r.query_id for r in held]
-        matrix = _unit(_matrix([r.query for r in held]))
 
-        def score(batches):
-            best = None
-            for batch in batches:
-                if batch.num_rows:
-                    ids = batch.column("id").to_numpy(zero_copy_only=False)
-                    found = _best(ids, _arrow_matrix(batch.column("vector")), query_ids, matrix, k)
-                    best = found if best is None else pd.concat([best, found], ignore_index=True)
-                    order = best.sort_values(["query_id", "score", "id"], ascending=[True, False, True])
-                    best = order.groupby("query_id", sort=False).head(k)
-            if best is not None:
-                yield pa.RecordBatch.from_pandas(best, schema=arrow_schema, preserve_index=False)
+def _in_parts(rows: np.ndarray) -> np.ndarray:
+    """Rows cut into parts of ``PART`` components, the last one filled up with zeros."""
+    padded = np.pad(rows, ((0, 0), (0, -rows.shape[1] % PART)))
+    return padded.reshape(len(rows), -1, PART)
 
-        return source.mapInArrow(score, schema)
 
-    parts = [scored(held) for held in _blocks(queries)]
-    return _ranked(reduce(DataFrame.unionByName, parts) if parts else vectors.sparkSession.createDataFrame([], schema), k)
+def _words_of(parts: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """The nearest word of a book for each row's part."""
+    return (parts @ book.T - (book * book).sum(axis=1) / 2).argmax(axis=1).astype(np.uint8)
+
+
+def code_books(vectors: DataFrame, vector: str, n: int, seed: int = 7) -> np.ndarray | None:
+    """For each part of the unit vectors ``WORDS`` words, fitted on about ``SAMPLED`` different vectors chosen by hash."""
+    place = F.pmod(F.xxhash64(vector), F.lit(1 << 30)) / (1 << 30)
+    chosen = vectors.select(vector).filter(place < min(1.0, SAMPLED / max(n, 1))).distinct().collect()
+    if not chosen:
+        return None
+    rows = _matrix(sorted(r[0] for r in chosen))
+    sample, rng, books = _in_parts(_unit(rows)), np.random.default_rng(seed), []
+    for p in range(sample.shape[1]):
+        parts = sample[:, p]
+        book = parts[rng.choice(len(parts), min(WORDS, len(parts)), replace=False)]
+        for _ in range(FIT_ROUNDS):
+            word = _words_of(parts, book)
+            n_of = np.bincount(word, minlength=len(book))
+            sums = np.stack([np.bincount(word, parts[:, c], minlength=len(book)) for c in range(PART)], axis=1)
+            book = np.where(n_of[:, None] > 0, sums / np.maximum(n_of, 1)[:, None], book)
+        books.append(book)
+    return np.stack(books)
 
 
-def _sign_codes(df: DataFrame, vector: str, planes: np.ndarray) -> DataFrame:
-    """``df`` with ``codes``: for each table, on which sides of its planes the vector lies, as bits."""
-    bits = 1 << np.arange(planes.shape[1])
-    schema = T.StructType([*df.schema.fields, T.StructField("codes", T.ArrayType(T.LongType()))])
+def coded(vectors: DataFrame, books: np.ndarray) -> DataFrame:
+    """(id, code) of (id, v): one byte for each part of a vector."""
+    schema = T.StructType([vectors.schema["id"], T.StructField("code", T.BinaryType())])
 
-    def code(batches):
+    def run(batches):
         for batch in batches:
-            rows = _arrow_matrix(batch.column(vector)) if batch.num_rows else np.zeros((0, planes.shape[2]))
-            codes = ((np.einsum("nd,tbd->ntb", rows, planes) > 0) @ bits).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.list_(pa.int64()))], schema.fieldNames())
+            codes = b""
+            if batch.num_rows:
+                parts = _in_parts(_unit(_arrow_matrix(batch.column(1))))
+                codes = np.stack([_words_of(parts[:, p], book) for p, book in enumerate(books)], axis=1).tobytes()
+            cut = pa.FixedSizeBinaryArray.from_buffers(pa.binary(len(books)), batch.num_rows, [None, pa.py_buffer(codes)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), cut.cast(pa.binary())], schema.fieldNames())
 
-    return df.mapInArrow(code, schema)
+    return vectors.select("id", "v").mapInArrow(run, schema)
 
 
-def nearest_lsh(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, bits: int = 12, tables: int = 24, flips: int = 2, seed: int = 7) -> DataFrame:
-    """Approximate k nearest by cosine: sign hashes, then the exact score of what they find.
+def nearest_coded(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int, candidates: int = CANDIDATES) -> DataFrame:
+    """Approximate k nearest by cosine: short codes of all vectors first, then the exact score of a few.
 
-    A table's code tells on which sides of ``bits`` random planes a vector lies. A query
-    looks into the buckets of its code and of all codes up to ``flips`` bits away. More
-    bits make the buckets smaller, more tables and flips find more. A zero vector scores
-    0; null vectors and queries are left out. The dimension is read from one row.
+    A code has a byte for every four components: which of 256 words, fitted on a bounded
+    sample, is nearest. All vectors have codes, written once and a fraction of the vectors'
+    size. A query's products with all words make a table, and the sum of a code's entries
+    estimates the cosine. The best ``candidates`` times k by that, but at most a tenth of all
+    vectors (k at least), are scored exactly. A zero vector scores 0; null vectors and
+    queries are left out.
     """
     base = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).filter("v IS NOT NULL")
+    n = base.count()
+    books = code_books(base, "v", n)
+    if books is None:
+        return nearest(vectors, key, vector, queries, k)  # no vectors
+    codes = cut_lineage(coded(base, books))
     asked = cut_lineage(queries.select("query_id", F.col("query").alias("q")).filter("q IS NOT NULL"))
-    first = base.select(F.size("v").alias("n")).first()
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, first.n if first else 1))
-    masks = [sum(1 << b for b in some) for n in range(flips + 1) for some in combinations(range(bits), n)]
-    near = F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("code").bitwiseXOR(m.cast("long")))
-    probes = _sign_codes(asked, "q", planes).select("query_id", F.posexplode("codes").alias("table", "code")).select("query_id", "table", F.explode(near).alias("code"))
-    placed = _sign_codes(base, "v", planes).select("id", F.posexplode("codes").alias("table", "code"))
-    found = placed.join(probes, ["table", "code"]).select("query_id", "id").distinct()
+
+    def scorer(matrix):
+        tables = np.einsum("qpc,pwc->pwq", _in_parts(matrix), books)
+
+        def score(column):
+            held = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+            return sum(tables[p][held[:, p]] for p in range(len(tables)))
+
+        return score
+
+    tried = max(k, min(candidates * k, n // 10))
+    found = _ranked(_each_task_best(codes, asked.withColumnRenamed("q", "query"), tried, scorer), tried).select("query_id", "id")
 
     def dot(a, b):
         return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
