@@ -3,25 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.casts import cast_or_null
 from .schema import spark_type, text_limit
 
 
-def bucket_of(value: Column, n: int) -> Column:
-    """Hash bucket from md5, the same in every engine."""
-    return (F.conv(F.substring(F.md5(value.cast("string")), 1, 8), 16, 10).cast("bigint") % n).cast("int")
-
-
-def bucket_skew(df: DataFrame, column: str, n: int) -> DataFrame:
-    """Rows per hash bucket and how far the bucket is above the mean."""
-    counts = df.groupBy(bucket_of(F.col(column), n).alias("bucket")).agg(F.count(F.lit(1)).alias("n_rows"))
-    mean = F.sum("n_rows").over(W.partitionBy()) / n  # over at most n bucket rows
-    return counts.select("bucket", "n_rows", (F.col("n_rows") / mean).alias("skew"))
-
-
 def column_profile(df: DataFrame, columns: list[str], min_share: float = 0.0001, min_distinct: int = 100) -> DataFrame:
     """Per column: nulls, distinct values, least and greatest value, longest text.
 

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import re
-import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from ..functions.casts import cast_or_null
 from ..functions.ddl import column_ddl, normalise_type, value_type
 from ..functions.quoting import quote
 from ..functions.text import normal_setting, set_statement
+from ..sources import versions
 
 ATTRIBUTES = ("ord", "type", "nullable", "dflt", "comment")
 
@@ -197,16 +197,12 @@ def apply_schema_change(df: DataFrame, changes: list[dict]) -> DataFrame:
     return df.select(*columns)
 
 
-def write_version(df: DataFrame, table: str, changes: list[dict]) -> DataFrame:
-    """Stage the changed data as the table's next version and read it.
+def write_version(table: str, spark: SparkSession, changes: list[dict]) -> int:
+    """Rewrite the newest version of a table with the changes as its next version.
 
-    A version is a folder below ``table``; it counts only when its write has committed,
-    so a failed rewrite leaves the last one as it was.
+    It counts once its write has committed: a failed rewrite leaves the table as it was.
     """
-    path = f"{table}/version-{uuid.uuid4().hex}"
-    changed = apply_schema_change(df, changes)
-    changed.write.parquet(path)
-    return df.sparkSession.read.schema(changed.schema).parquet(path)
+    return versions.commit(apply_schema_change(versions.read(spark, table), changes), table)
 
 
 def cast_failures(df: DataFrame, changes: list[dict]) -> DataFrame:

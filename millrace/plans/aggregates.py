@@ -120,14 +120,6 @@ def drop_guard(t):
     return workload.drop_guard(databases, tables)
 
 
-@query("bucket_skew", """
-SELECT bucket, n_rows, n_rows / (sum(n_rows) OVER () / 8) AS skew FROM (
-  SELECT CAST(CAST('0x' || substring(md5(query_id), 1, 8) AS BIGINT) % 8 AS INTEGER) AS bucket, count(*) AS n_rows FROM audit GROUP BY 1) AS b
-""")
-def bucket_skew(t):
-    return quality.bucket_skew(t["audit"], "query_id", 8)
-
-
 PROFILED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 

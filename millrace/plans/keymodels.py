@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import keymodels as km
 from ..session import workdir
+from ..sources import versions
 from ..sources.layout import append_batch
 from .registry import query
 
@@ -83,7 +84,10 @@ def primary_key_upsert(t):
     base = t["part"].select("p_partkey", "p_name", "p_size", "p_retailprice")
     folded = km.fold_changes(t["change_feed"], ["part_key"], feed_order(), ["new_price"])
     changes = folded.select(F.col("part_key").alias("p_partkey"), "op", F.col("new_price").cast("double").alias("p_retailprice"))
-    return km.upsert(base, changes, ["p_partkey"])
+    table = workdir(t.spark, "parts")
+    versions.commit(base, table)
+    versions.commit(km.upsert(versions.read(t.spark, table), changes, ["p_partkey"]), table)
+    return versions.read(t.spark, table)
 
 
 @query("partition_retention", """

@@ -105,7 +105,38 @@ def compressed_roundtrip(t):
 
 @query("storage_usage")
 def storage_usage(t):
-    return layout.storage_usage(t.spark, {name: t.path(name) for name in BASE})
+    """Rows, files and bytes of every given table."""
+    return layout.storage_usage({name: t[name] for name in BASE})
+
+
+@query("storage_rows", " UNION ALL ".join(f"SELECT '{name}' AS table_name, count(*) AS n_rows, count(*) > 0 AS stored FROM {name}" for name in BASE))
+def storage_rows(t):
+    """Do the files of each table hold all of its rows?"""
+    return layout.storage_usage({name: t[name] for name in BASE}).select("table_name", "n_rows", ((F.col("n_bytes") > 0) & (F.col("n_files") > 0)).alias("stored"))
+
+
+# The hash by which Spark deals rows to buckets: each half of a number is mixed in, then all is mixed once more.
+def _mixed(half, seed):
+    return f"""{half} * 3432918353::UBIGINT & m AS {half}1, (({half}1 << 15) | ({half}1 >> 17)) & m AS {half}2, {half}2 * 461845907::UBIGINT & m AS {half}3,
+  xor({seed}, {half}3) AS {half}4, (({half}4 << 13) | ({half}4 >> 19)) & m AS {half}5, ({half}5 * 5 + 3864292196::UBIGINT) & m AS {half}6"""
+
+
+BUCKETS = 8
+
+
+@query("bucket_skew", f"""
+SELECT bucket, n_rows, n_rows / (sum(n_rows) OVER () / {BUCKETS}) AS skew FROM (
+  SELECT CAST(f5 % {BUCKETS} AS INTEGER) AS bucket, count(*) AS n_rows FROM (
+    SELECT 4294967295::UBIGINT AS m, CAST(user_id & 4294967295 AS UBIGINT) AS lo, CAST((user_id >> 32) & 4294967295 AS UBIGINT) AS hi,
+      {_mixed("lo", "42::UBIGINT")}, {_mixed("hi", "lo6")}, xor(hi6, 8::UBIGINT) AS f0,
+      xor(f0, f0 >> 16) * 2246822507::UBIGINT & m AS f2, xor(f2, f2 >> 13) * 3266489909::UBIGINT & m AS f4, xor(f4, f4 >> 16) AS f5
+    FROM events) AS h GROUP BY 1) AS b
+""")
+def bucket_skew(t):
+    """Rows in each bucket of a written table, and how far the bucket is above the mean."""
+    events = t["events"].withColumn("day", F.to_date("ts"))
+    name = layout.write_bucketed(events, workdir(t.spark, "skew"), "day", "user_id", BUCKETS, ["ts", "event_id"])
+    return layout.bucket_rows(t.spark.table(name), BUCKETS)
 
 
 @query("bloom_skipping", """SELECT event_id, user_id, event_type, value FROM events WHERE props = '{"k": 69}'""")

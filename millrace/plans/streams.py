@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import workdir
+from ..sources import versions
 from ..streaming import operators as st
-from .inputs import DERIVED, placed
 from .keymodels import EVENT_DAYS, FEED_ORDER, LAST_CHANGE, VIEWS, event_measures, feed_order
 from .registry import query
 
@@ -18,11 +18,6 @@ def plain_times(df, *columns):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
 
-def derived_stream(t, name, base):
-    """A derived input over the stream of its base table."""
-    return t.spark.sql(placed(DERIVED[name], [base]), **{base: st.read_stream(t.spark, t.path(base))})
-
-
 ARRIVALS = 3
 
 
@@ -46,8 +41,13 @@ def stream_dedup(t):
 
 @query("stream_upsert", f"SELECT part_key, new_price FROM ({LAST_CHANGE}) AS l WHERE op = 'U'")
 def stream_upsert(t):
-    feed = derived_stream(t, "change_feed", "lineitem")
-    return st.upsert_stream(feed, workdir(t.spark, "stream-upsert"), ["part_key"], feed_order(), list(FEED_ORDER), ["new_price"])
+    """The feed arrives in parts; after each the table's next version is committed under the part's name."""
+    work, feed = workdir(t.spark, "stream-upsert"), t["change_feed"]
+    for part in range(ARRIVALS):
+        feed.filter(F.pmod("seq1", F.lit(ARRIVALS)) == part).write.mode("append").parquet(f"{work}/in")
+        changes = st.read_stream(t.spark, f"{work}/in")
+        versions.commit(st.upsert_stream(changes, work, ["part_key"], feed_order(), list(FEED_ORDER), ["new_price"]), f"{work}/table", f"part {part}")
+    return versions.read(t.spark, f"{work}/table")
 
 
 @query("stream_tumbling", """

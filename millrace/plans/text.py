@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ddl, text
 from ..operators import schema
+from ..session import workdir
+from ..sources import versions
 from .registry import query
 
 
@@ -220,6 +222,21 @@ def apply_schema_change(t):
     return schema.apply_schema_change(t["orders"], schema.typed_changes(t.spark.sql(ORDER_CHANGES)))
 
 
+@query("schema_change_versions", """
+SELECT o_orderkey, o_custkey AS custkey_1, CAST(o_custkey AS DOUBLE) AS custkey_2, o_orderstatus AS status_1, CAST(7 AS BIGINT) AS score_2,
+  CASE WHEN length(o_orderpriority) <= 6 THEN o_orderpriority END AS priority_2 FROM orders
+""")
+def schema_change_versions(t):
+    """The orders before and after a staged change, both read from the table's versions."""
+    table = workdir(t.spark, "orders")
+    before = versions.commit(t["orders"], table)
+    after = schema.write_version(table, t.spark, schema.typed_changes(t.spark.sql(ORDER_CHANGES)))
+    old, new = versions.read(t.spark, table, before), versions.read(t.spark, table, after)
+    old = old.select("o_orderkey", F.col("o_custkey").alias("custkey_1"), F.col("o_orderstatus").alias("status_1"))
+    new = new.select("o_orderkey", F.col("o_custkey").alias("custkey_2"), F.col("score").alias("score_2"), F.col("o_orderpriority").alias("priority_2"))
+    return old.join(new, "o_orderkey")
+
+
 @query("schema_change_losses", """
 SELECT 'o_custkey' AS column_name, count(o_custkey) AS n_values, CAST(0 AS BIGINT) AS n_lost FROM orders
 UNION ALL SELECT 'o_totalprice', count(o_totalprice), 0 FROM orders

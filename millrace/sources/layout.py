@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -78,13 +79,20 @@ def overlapping_files(spark: SparkSession, path: str, column: str) -> DataFrame:
     )
 
 
-def storage_usage(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Files and bytes per table, from file listings; no file is opened."""
+def storage_usage(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows, files that hold rows, and their bytes, per table; the scan reads no column."""
     parts = []
-    for table, path in paths.items():
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        parts.append(files.select(F.lit(table).alias("table_name"), "path", "length"))
-    listed = parts[0]
-    for part in parts[1:]:
-        listed = listed.unionAll(part)
-    return listed.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"))
+    for name, df in tables.items():
+        files = df.groupBy("_metadata.file_path").agg(F.max("_metadata.file_size").alias("n_bytes"), F.count(F.lit(1)).alias("n_rows"))
+        parts.append(files.select(F.lit(name).alias("table_name"), "n_rows", "n_bytes"))
+    used = reduce(DataFrame.unionAll, parts).groupBy("table_name")
+    return used.agg(F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_files"), F.sum("n_bytes").alias("n_bytes"))
+
+
+def bucket_rows(table: DataFrame, n: int) -> DataFrame:
+    """(bucket, n_rows, skew) of a bucketed table's files; the skew compares a bucket with the mean."""
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    bucket = F.regexp_extract(name, r"_(\d+)(?:\.c\d+)?\.[^/]*$", 1).cast("int").alias("bucket")
+    counts = table.groupBy(bucket).agg(F.count(F.lit(1)).alias("n_rows"))
+    mean = F.sum("n_rows").over(W.partitionBy()) / n  # over at most n bucket rows
+    return counts.select("bucket", "n_rows", (F.col("n_rows") / mean).alias("skew"))
