@@ -143,12 +143,33 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probabilities:
     return found.select(*keys, "n_rows", *blend)
 
 
-def deciles(df: DataFrame, keys: list[str], value: str, tiebreak: list[str], tiles: int = 10) -> DataFrame:
+def _with_first_positions(placed: DataFrame, keys: list[str], value: str, block: int) -> DataFrame:
+    """Adds ``first_pos``: where the run of equal values begins that a row at ``pos`` belongs to.
+
+    Positions are cut into blocks. Inside a block a run begins where the value changes;
+    for a run that reaches in from the blocks before, one row a block carries where it
+    began. Nothing is joined on the value, of which one may fill a third of the rows.
+    """
+    blocks = placed.withColumn("block", F.floor(F.col("pos") / block))
+    head = F.col("block") * block
+    runs = blocks.groupBy(*keys, "block", value).agg(F.min("pos").alias("begins"))
+    held = F.struct(F.col(value).alias("value"))  # a null value is a value too
+    ends = runs.groupBy(*keys, "block").agg(F.min_by(held, "begins").alias("opening"), F.max_by(held, "begins").alias("closing"), F.max("begins").alias("latest"))
+    chain = W.partitionBy(*keys).orderBy("block")
+    new = F.lag("closing").over(chain).isNull() | ~F.col("opening").eqNullSafe(F.lag("closing").over(chain))
+    ends = ends.withColumns({"opened": F.when(new, head), "latest": F.when(F.col("latest") > head, F.col("latest"))})
+    open_at_end = F.last(F.coalesce("latest", "opened"), ignorenulls=True).over(chain.rowsBetween(W.unboundedPreceding, -1))
+    carried = ends.select(*keys, "block", F.coalesce("opened", open_at_end).alias("carry"))
+    inside = blocks.withColumn("inside", F.min("pos").over(W.partitionBy(*keys, "block", value)))
+    joined = _join_null_safe(inside, carried, [*keys, "block"])
+    return joined.withColumn("first_pos", F.when(F.col("inside") > head, F.col("inside")).otherwise(F.col("carry"))).drop("block", "inside", "carry")
+
+
+def deciles(df: DataFrame, keys: list[str], value: str, tiebreak: list[str], tiles: int = 10, block: int = 100_000) -> DataFrame:
     """Adds ``tile`` (ntile) and ``percent_rank`` of the value within its key."""
     placed = with_positions(df, keys, [value, *tiebreak])
-    ties = placed.groupBy(*keys, value).agg(F.min("pos").alias("first_pos"))
     totals = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-    ranked = _join_null_safe(_join_null_safe(placed, totals, keys), ties, [*keys, value])
+    ranked = _join_null_safe(_with_first_positions(placed, keys, value, block), totals, keys)
     small = F.floor(F.col("total") / tiles)
     large = F.col("total") % tiles  # this many tiles have one row more
     in_large = F.col("pos") < large * (small + 1)

@@ -106,6 +106,24 @@ def test_deciles(frame, points, tiles):
             assert got[p[0]] == (tile_of[i], pytest.approx(below / (n - 1)))
 
 
+@pytest.mark.parametrize("block", [1, 2, 7, 100_000])
+def test_first_positions_across_blocks(spark, block):
+    """Runs of equal values that begin in a block, span blocks, or are null."""
+    rng, rows = random.Random(block), []
+    for key in ("a", "b", None):
+        values = sorted(rng.choice([1, 1, 1, 2, 3, 8]) for _ in range(40)) if key else [5] * 30
+        values = [None] * 9 + values if key == "a" else values
+        rows += [(key, i, v) for i, v in enumerate(values)]
+    placed = spark.createDataFrame(rows, "k string, pos long, v int")
+    got = {(r.k, r.pos): r.first_pos for r in ordered._with_first_positions(placed, ["k"], "v", block).collect()}
+    assert got == {(k, i): min(j for q, j, w in rows if q == k and w == v) for k, i, v in rows}
+
+
+def test_deciles_join_on_no_value(spark, frame):
+    plan = ordered.deciles(frame, ["k"], "v", ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "(v#" in line]
+
+
 @pytest.fixture(scope="module")
 def runs():
     rng = random.Random(9)
