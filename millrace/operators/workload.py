@@ -144,9 +144,11 @@ def digest_stats(log: DataFrame) -> DataFrame:
 
 def quota_report(log: DataFrame, databases: DataFrame) -> DataFrame:
     """Bytes and tables in use per database against its quotas; none means unlimited."""
+    # The log is read once: its different lists of tables are few.
+    lists = cut_lineage(log.groupBy("db", "queried_relations").agg(F.sum("scan_bytes").alias("bytes")))
     tables = F.explode(F.split("queried_relations", ","))
-    used = log.groupBy("db").agg(F.sum("scan_bytes").alias("used_bytes"))
-    held = log.select("db", tables.alias("tbl")).groupBy("db").agg(F.count_distinct("tbl").alias("used_replicas"))
+    used = lists.groupBy("db").agg(F.sum("bytes").alias("used_bytes"))
+    held = lists.select("db", tables.alias("tbl")).groupBy("db").agg(F.count_distinct("tbl").alias("used_replicas"))
     quotas = databases.select(
         "db",
         quota_bytes(F.col("data_quota")).alias("quota_bytes"),

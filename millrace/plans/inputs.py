@@ -121,6 +121,13 @@ SELECT o_orderkey AS job_id, o_custkey AS table_id, o_orderdate AS ts,
 FROM orders
 """
 
+DERIVED["group_listing"] = """
+SELECT 'rg' || CAST(user_id % 50 AS STRING) AS rg_name, event_id AS listed,
+  CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 2 THEN CAST(event_id % 90 AS STRING) || '%' END AS mem_limit,
+  event_id % 4 * (user_id % 5) AS concurrency_limit, CASE WHEN event_id % 5 > 1 THEN (event_id % 7) * 1000 END AS big_query_scan_rows_limit
+FROM events
+"""
+
 DERIVED["change_feed"] = """
 SELECT l_orderkey % 2000 AS part_key, l_orderkey AS seq1, l_linenumber AS seq2, l_partkey AS seq3, l_suppkey AS seq4,
   CASE WHEN l_returnflag = 'R' AND l_linenumber % 2 = 0 THEN 'D' ELSE 'U' END AS op,

@@ -81,6 +81,17 @@ def big_query_violations(t):
     return workload.big_query_violations(grouped_log(t), t["resource_groups"])
 
 
+@query("group_limits", """
+SELECT rg_name, arg_min(mem_limit, listed) FILTER (WHERE mem_limit <> '') AS mem_limit,
+  arg_min(concurrency_limit, listed) FILTER (WHERE concurrency_limit <> 0) AS concurrency_limit,
+  arg_min(big_query_scan_rows_limit, listed) FILTER (WHERE big_query_scan_rows_limit <> 0) AS big_query_scan_rows_limit
+FROM group_listing GROUP BY 1
+""")
+def group_limits(t):
+    """The limits of each group of a listing that has a row per classifier."""
+    return workload.fold_group_rows(t["group_listing"], "listed")
+
+
 @query("variable_drift", """
 SELECT name, status, CASE WHEN status <> 'ok' THEN 'SET GLOBAL ' || name || ' = ''' || replace(desired, '''', '''''') || '''' END AS stmt
 FROM (SELECT *, CASE WHEN actual IS NULL THEN 'missing'
