@@ -137,8 +137,8 @@ class Replay:
 class Encoder:
     """Texts to packed ids, with what it has seen."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.replay, self.split = Replay(ranks), regex.compile(pattern).findall
+    def __init__(self, ranks: dict[bytes, int], pattern: str, kept: int = CACHE):
+        self.replay, self.split, self.kept = Replay(ranks), regex.compile(pattern).findall, kept
         plain = plain_pattern(pattern)
         self.split_plain = plain.findall if plain else self.split
         self.words: dict[str, bytes] = {}
@@ -146,7 +146,7 @@ class Encoder:
 
     def _learn(self, wanted: set[str]) -> None:
         """Packed ids of pre-tokens; the older half of what is kept goes when it is full, but for what is wanted again."""
-        if len(self.words) > CACHE:
+        if len(self.words) > self.kept:
             self.words, self.older = {}, self.words
         known, older, fresh = self.words, self.older, []
         for w in wanted:
@@ -173,20 +173,21 @@ class Encoder:
 
 
 @cache
-def encoder_of(ranks: str, pattern: str) -> Encoder:
+def encoder_of(ranks: str, pattern: str, kept: int) -> Encoder:
     """The encoder of this worker process, with what its earlier tasks have seen."""
-    return Encoder(read_ranks(ranks), pattern)
+    return Encoder(read_ranks(ranks), pattern, kept)
 
 
-def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text") -> DataFrame:
+def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", kept: int = CACHE) -> DataFrame:
     """``df`` with ``ids``: the text's token ids as little-endian unsigned 32-bit integers.
 
     ``ranks`` is the path of the rank file on every executor, ``pattern`` splits a
-    text into pre-tokens. A pre-token that is itself in the table is one id.
+    text into pre-tokens. A pre-token that is itself in the table is one id. A worker keeps
+    the ids of up to twice ``kept`` pre-tokens, which saves work and takes memory.
     """
 
     def start():
-        encoder = encoder_of(ranks, pattern)
+        encoder = encoder_of(ranks, pattern, kept)
         return lambda texts: (encoder.encode(texts),)
 
     return annotate(df, text, T.StructType().add("ids", "binary"), start)
