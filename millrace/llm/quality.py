@@ -1,15 +1,19 @@
 """Operator 9: quality rules whose limits follow each language and source.
 
 Every text is measured; documents that fail the fixed base rules (too few words, too
-much repetition) are out. The others feed quantile sketches of four signals, one sketch
+much repetition) are out. The others feed quantile sketches of three signals, one sketch
 per language, source and signal: counts in buckets whose bounds grow by ``GAMMA``, so a
 quantile is found to about half of GAMMA - 1 of its value. Sketches merge by adding
 counts, in any order and with the same result; sums over sources and languages give the
 sketches of a language and of the whole corpus, which stand in for groups with fewer
-than ``LEAST`` documents. A signal's limit is its upper quartile plus ``REACH`` times
-the spread between the quartiles, and never below the signal's floor: in a clean corpus
-the spread may be nothing, and a document is not bad for being slightly unlike others.
-The limits are then joined to the documents.
+than ``LEAST`` documents. The limits are then joined to the documents.
+
+There is no fixed cutoff. A text is a sample of its writer, so each signal has a margin
+that shrinks with the text's length. The sketches hold value + margin, the most that a
+document may stand for; that is not zero even where most documents have no such character
+or line. A signal's limit is the upper quartile of these plus ``REACH`` times the spread
+between the quartiles. A document is out if its value - margin, the least that it stands
+for, exceeds the limit: texts with a few odd characters or short ones stay.
 
 Defined cases: a null text has no words and fails; null languages or sources form a
 group like any other; repeated rows are measured and counted each; an empty table gives
@@ -35,12 +39,22 @@ SYMBOLS = b"#*$%&|<>"
 #: What to leave out so that the length counts a text's code points outside white space.
 NOT_COUNTED = WHITE + bytes(range(0x80, 0xC0))
 WINDOW = 8
-#: Signal -> (value, floor of its limit).
+def _share(part: str, whole: str):
+    """A share and twice the standard error of its count (one more, as none seen does not mean none)."""
+    return F.try_divide(part, whole), F.try_divide(2 * F.sqrt(F.col(part) + 1), F.col(whole))
+
+
+def _mean(total: str, count: str):
+    """A mean and twice its standard error, words' lengths varying by half of their mean."""
+    mean = F.try_divide(total, count)
+    return mean, F.try_divide(mean, F.sqrt(count))
+
+
+#: Signal -> its value and margin.
 SIGNALS = {
-    "symbols": (lambda: F.col("n_symbols") / F.col("word_chars"), 0.025),
-    "lines": (lambda: F.col("n_dup_lines") / F.col("n_lines"), 0.7),
-    "repeats": (lambda: F.col("n_repeat_words") / F.col("n_words"), 0.3),
-    "length": (lambda: F.col("word_chars") / F.col("n_words"), 12.0),
+    "symbols": lambda: _share("n_symbols", "word_chars"),
+    "lines": lambda: _share("n_dup_lines", "n_lines"),
+    "length": lambda: _mean("word_chars", "n_words"),
 }
 GAMMA, LEAST, REACH = 1.02, 100, 3.0
 
@@ -96,7 +110,7 @@ def _base_failed():
 
 def limits(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """lang, source and one limit for each signal, of every group with a document that passes the base rules."""
-    values = F.array(*[F.struct(F.lit(s).alias("signal"), value().alias("value")) for s, (value, _) in SIGNALS.items()])
+    values = F.array(*[F.struct(F.lit(s).alias("signal"), sum(signal()).alias("value")) for s, signal in SIGNALS.items()])
     bucket = F.when(F.col("s.value") > 0, F.ceil(F.log("s.value") / F.log(F.lit(GAMMA))))
     rows = measured.filter(~_base_failed()).select(named(lang).alias("lang"), named(source).alias("source"), F.explode(values).alias("s"))
     sketches = cut_lineage(rows.groupBy("lang", "source", "s.signal", bucket.alias("bucket")).agg(F.count("*").alias("n")))
@@ -110,7 +124,7 @@ def limits(measured: DataFrame, lang: str = "lang", source: str = "source") -> D
         middle = F.coalesce(F.pow(F.lit(GAMMA), F.col("bucket")) * 2 / (1 + GAMMA), F.lit(0.0))
         at = {q: F.min(F.when(F.col("upto") >= q * F.col("total"), middle)) for q in (0.25, 0.75)}
         fence = ranked.groupBy(*by, "signal").agg((at[0.75] + REACH * (at[0.75] - at[0.25])).alias("fence"), F.max("total").alias("total"))
-        wide = [F.max(F.when(F.col("signal") == s, F.greatest("fence", F.lit(floor)))).alias(f"{tag}_{s}") for s, (_, floor) in SIGNALS.items()]
+        wide = [F.max(F.when(F.col("signal") == s, F.col("fence"))).alias(f"{tag}_{s}") for s in SIGNALS]
         return fence.groupBy(*by).agg(F.max("total").alias(f"{tag}_n"), *wide)
 
     own = quartiles(sketches, ["lang", "source"], "own")
@@ -127,8 +141,9 @@ def judge(measured: DataFrame, lang: str = "lang", source: str = "source") -> Da
     bounds = cut_lineage(limits(measured, lang, source)).withColumnsRenamed({"lang": "limit_of_lang", "source": "limit_of_source"})
     same = named(lang).eqNullSafe(F.col("limit_of_lang")) & named(source).eqNullSafe(F.col("limit_of_source"))
     over = F.lit(False)
-    for signal, (value, _) in SIGNALS.items():
-        over |= value() > F.col(f"limit_{signal}")
+    for name, signal in SIGNALS.items():
+        value, margin = signal()
+        over |= value - margin > F.col(f"limit_{name}")
     verdicts = {"base_failed": _base_failed(), "kept": ~_base_failed() & ~F.coalesce(over, F.lit(False))}
     return measured.join(bounds, same, "left").withColumns(verdicts).drop(*bounds.columns)
 
