@@ -6,7 +6,12 @@ gives its containers' shares of its score as votes; Spark adds them up for each
 path, and the path with the most votes wins the host. The pages are then extracted
 again: the blocks inside the elements on the winning path, without menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and comments. A page without
-such an element, or whose own best container scores ten times more, uses its own.
+such an element, or whose own best container scores ``CLEARLY`` times more, uses its own.
+
+Classes and ids make an element a suspect only. What its name says of the article or the
+page's frame, how much of the page's text it holds, and how much of that is links, decide;
+a form around an article element is the page's frame; and where nothing is left, suspects
+that may hold the article are read after all (`pages.Page`).
 
 Defined cases: null or empty html gives an empty text; pages without a host vote
 together; of equal votes the smaller path wins; repeated pages vote each; an empty table
@@ -29,7 +34,7 @@ from .pages import Page
 from .url_filter import host_and_path
 
 #: A page's votes; and by how much a page's own container must win over the host's.
-VOTES, CLEARLY = 1000, 10
+VOTES, CLEARLY = 1000, 3
 
 
 def winning_paths(rows: DataFrame) -> DataFrame:

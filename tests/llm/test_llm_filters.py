@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -52,6 +53,62 @@ def test_broken_html():
         assert isinstance(html_text.extract(source, "/div"), str)
 
 
+WHOLE = [
+    "<article data-hidden='false'>{}</article>",
+    "<article title='The hidden valley'>{}</article>",
+    "<div data-id='sidebar'>{}</div>",
+    "<div class='page--no-sidebar'>{}</div>",
+    "<div class='content-with-sidebar'>{}</div>",
+    "<div class='layout-header-fixed'>{}</div>",
+    "<div class='news-alert-story'>{}</div>",
+    "<form id='page-form' action='x'><article>{}</article></form>",
+    "<form id='page-form' action='x'><div>{}</div></form>",
+    "<div class=nav><a href=/>Home</a><article>{}</article>",
+    "<div class='widget'>{}</div>",
+]
+
+
+@pytest.mark.parametrize("frame", WHOLE)
+@pytest.mark.parametrize("around", ["<html><body>{}{menu}{footer}</body></html>", "<body>{menu}{comments}{cookie}{}</body>"])
+def test_names_do_not_take_the_article(frame, around):
+    assert html_text.extract(around.format(frame.format(BODY), **JUNK), None) == TEXT
+
+
+def test_pages_without_an_article_are_empty():
+    assert html_text.extract("<body>{menu}{cookie}{comments}{form}{footer}".format(**JUNK), None) == ""
+    long = JUNK["comments"].replace("comments", "post-comments") * 20
+    assert html_text.extract(f"<body><div class=x>{BODY}</div>{long}", None) == TEXT
+
+
+def test_bad_html_takes_time_in_proportion():
+    start = time.monotonic()
+    html_text.extract("<div>" * 50_000 + "</section>" * 75_000, None)
+    html_text.extract("<div class=sidebar>" * 20_000 + "<article>x" * 20_000 + "</article>" * 20_000, None)
+    assert time.monotonic() - start < 10
+
+
+def slow_winners(rows):
+    """Host -> path with the most votes, page after page."""
+    votes = {}
+    for host, source in rows:
+        page = Page(source)
+        totals = page.scores()
+        for path, score in zip(page.path, totals, strict=True):
+            if score:
+                of_host = votes.setdefault(host, {})
+                of_host[path] = of_host.get(path, 0) + html_text.VOTES * score // sum(totals)
+    return {host: min(paths, key=lambda p: (-paths[p], p)) for host, paths in votes.items()}
+
+
+def test_winners_against_counting(spark):
+    rows = [(r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("url", "html").collect()]
+    rows += [(f"http://x.org/{k}", f"<div class='a{k % 3}'>{BODY}</div><div class='b'><p>{'more ' * 5 * k}</p></div>".replace("a2", "c")) for k in range(9)] + [(None, BODY), ("y", None)]
+    hosts = [(re.match(r"[^:]*://([^/?#]*)|", url or "")[1] or "" if url and "://" in url else "", source) for url, source in rows]
+    hosts = [(h.lower(), source) for h, source in hosts]
+    got = html_text.winning_paths(spark.createDataFrame(hosts, "host string, html string")).collect()
+    assert {r.host: r.path for r in got} == slow_winners(hosts)
+
+
 def test_hosts_vote_for_a_path(spark):
     frame = "<div class='a'>{0}</div><div class='b'>{1}</div>"
     article, teaser = "".join(f"<p>{prose(random.Random(k), 40)}</p>" for k in range(3)), "<p>" + prose(random.Random(9), 10) + "</p>"
