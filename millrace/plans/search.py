@@ -33,9 +33,7 @@ SELECT item_id, doc_id, score FROM scored WHERE rn = 1 AND score >= 0.6
 """)
 def ngram_similarity(t):
     """Each document's best needle: the output grows with the documents, not with the pairs."""
-    pairs = search.ngram_similarity(t.spread("documents", "doc_id"), "doc_id", "text", t["benchmark"], "item_id", "text", 4, 0.6)
-    best = F.max(F.struct("score", (-F.col("item_id")).alias("back"))).alias("best")
-    return pairs.groupBy("doc_id").agg(best).select((-F.col("best.back")).alias("item_id"), "doc_id", "best.score")
+    return search.best_needles(t.spread("documents", "doc_id"), "doc_id", "text", t["benchmark"], "item_id", "text", 4, 0.6)
 
 
 @query("inverted_index", "SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n_total FROM terms GROUP BY 1")

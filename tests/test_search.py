@@ -40,6 +40,50 @@ def test_similarity_finds_every_match(spark, threshold):
     assert got == pytest.approx(want)
 
 
+def _needles_and_docs(n_docs, n_needles):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 8))) for _ in range(300)]
+    needles = [(i, " ".join(rng.choices(words, k=rng.randrange(4, 12)))) for i in range(n_needles)]
+    needles += [(1000 + i, text) for i, (_, text) in enumerate(needles[:5])]  # ties
+    docs = [(i, " ".join(rng.choices(words, k=30)) + " " + rng.choice(needles)[1]) for i in range(n_docs)] + [(-1, ""), (-2, None), (-3, "ab")]
+    return needles, docs
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 1.0])
+def test_best_needle_of_each_document(spark, threshold):
+    needles, docs = _needles_and_docs(120, 30)
+    found = search.best_needles(
+        spark.createDataFrame(docs, "doc_id int, text string"), "doc_id", "text",
+        spark.createDataFrame(needles, "item_id int, text string"), "item_id", "text", 4, threshold,
+    )
+    want = {}
+    for d, text in docs:
+        held = set(text_grams(text, 4)) if text else set()
+        scores = [(-len(held & set(text_grams(needle, 4))) / len(text_grams(needle, 4)), i) for i, needle in needles]
+        if -min(scores)[0] >= threshold - 1e-12:
+            want[d] = (min(scores)[1], -min(scores)[0])
+    got = {r.doc_id: (r.item_id, r.score) for r in found.collect()}
+    assert {d: i for d, (i, _) in got.items()} == {d: i for d, (i, _) in want.items()}
+    assert [got[d][1] for d in want] == pytest.approx([score for _, score in want.values()])
+
+
+def test_pairs_scored_grow_with_the_documents(spark, monkeypatch):
+    counts = []
+    scored = search._Needles.scored
+
+    def counted(self, pairs, held):
+        counts.append(pairs.count())
+        return scored(self, pairs, held)
+
+    monkeypatch.setattr(search._Needles, "scored", counted)
+    for n_needles in (20, 80):
+        needles, docs = _needles_and_docs(200, n_needles)
+        args = spark.createDataFrame(docs, "doc_id int, text string"), "doc_id", "text", spark.createDataFrame(needles, "item_id int, text string"), "item_id", "text", 4, 0.3
+        search.best_needles(*args).collect()
+        assert sum(counts) <= 3 * len(docs)
+        counts.clear()
+
+
 def test_lookups_count_rows_under_each_condition(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("a"), F.when(F.col("id") % 7 > 0, F.col("id") >= 700).alias("b"))
     lookups = {"x": ("AND", (F.col("a") == 0) & F.col("b")), "y": ("OR", (F.col("a") == 1) | F.col("b")), "none": ("AND", F.col("a") == 9)}

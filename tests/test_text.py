@@ -218,3 +218,22 @@ def test_parsing_costs_grow_with_the_text(spark, n):
     assert all(len(r.properties) == n - 2 and r.properties["k0"] == f"v{n - 2}" and r.properties["k1"] == f"v{n - 1}" and r.properties["k2"] == "v2" for r in tables)
     assert len(columns) == 4 * n and {r.comment for r in columns if r.ord == n} == {f"c (x) {n - 1}"}
     assert all(r.kind == "NGRAMBF" and r.props == {k.lower(): v for k, v in tables[0].properties.items()} for r in stripped)
+
+
+def test_column_sketch_reads_the_schema_in_one_pass(spark):
+    df = spark.range(20_000).select(
+        (F.col("id") % 5000).alias("few`. 0"), F.when(F.col("id") % 4 > 0, F.col("id").cast("string")).alias("text"),
+        F.lit(None).cast("double").alias("none"), F.array("id").alias("list"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 100).cast("int")).alias("day"),
+    )
+    sketch = quality.column_sketch(df)
+    rows = {r.column_name: r for r in sketch.collect()}
+    assert list(rows) == ["few`. 0", "text", "none", "day"]
+    assert [(r.n_rows, r.n_null) for r in rows.values()] == [(20_000, 0), (20_000, 5000), (20_000, 20_000), (20_000, 0)]
+    for name, exact in {"few`. 0": 5000, "text": 15_000, "none": 0, "day": 100}.items():
+        assert abs(rows[name].n_distinct - exact) <= 4 * 0.02 * exact
+    assert rows["few`. 0"].quartiles == pytest.approx([1250, 2500, 3750], abs=4) and rows["day"].quartiles is None
+    assert (rows["text"].max_length, rows["none"].max_value, rows["day"].max_value) == (5, None, "2024-04-09")
+    assert sketch.columns == quality.column_sketch(df.select("list")).columns and quality.column_sketch(df.select("list")).count() == 0
+    assert quality.column_sketch(df.limit(0)).filter("n_rows = 0 AND n_distinct = 0 AND min_value IS NULL").count() == 4
+    executed = sketch._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" in executed and "hashpartitioning" not in executed
