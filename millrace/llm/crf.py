@@ -59,7 +59,7 @@ def features(word: str) -> list[str]:
     if c.isalpha():
         return ["word", "cue=" + c.lower()] if len(c) <= 6 else ["word"]
     figures = [ch for ch in c if "0" <= ch <= "9"]
-    found = ["shape=" + _shape(c[:64], 5), "form=" + _shape(c[:64], 1), "first=" + _shape(c[:1], 1), "last=" + _shape(c[-1:], 1), f"digits={min(len(figures), 20)}"]
+    found = ["shape=" + _shape(c, 5), "form=" + _shape(c, 1), "first=" + _shape(c[:1], 1), "last=" + _shape(c[-1:], 1), f"digits={min(len(figures), 20)}"]
     if "@" in c:
         found.append("at")
     if 13 <= len(figures) <= 19 and not re.search(r"[^\W\d_]", c):

@@ -58,6 +58,46 @@ my phone is [phone:(212) 555-0142] and my name is short
 call [phone:212-555-0187] or [phone:(415) 555-0101] after lunch
 tel [phone:030/5550123456] or by letter to the office
 phone [phone:0049 30 5550 1234] and ask for the manager
+for news write to [email:news at example dot net] once a month
+his address is [email:tom_k at mail dot example dot com] since may
+ask [email:office (at) schule (dot) de] for a copy
+or send it to [email:redaktion (at) zeitung (dot) example], please
+mail [email:lea.roth [at] verein [dot] org] for tickets
+she wrote from [email:eva [at] example [dot] net] last night
+reach us at [email:help at desk dot example] or come by
+contact: [email:jobs (at) company (dot) com]
+[email:anna at example dot org] has sent the list
+e-mail [email:post [at] amt [dot] de] is read daily
+call [phone:212-555-0119] before five
+or dial [phone:646-555-0173] and wait
+her phone [phone:303-555-0156] is off
+ring [phone:415-555-0128], then hang up
+tel. [phone:040/5550198765] from nine to five
+telefon [phone:089/555012345] oder per post
+tel [phone:0221/5550167890] nur vormittags
+phone [phone:0044 20 5550 9876] for the desk
+call [phone:0033 1 5550 2345] from abroad
+dial [phone:0049 89 5550 4321] at night
+fax [phone:415.555.0176] or by hand
+tel [phone:646.555.0112] all week
+call [phone:303.555.0199] after six
+the address [ip:2001:db8:0:0:8:0:0:2] is in use
+ping [ip:2001:db8:1:2:3:4:5:6] once more
+block [ip:2001:db8::8a2e:370:7334] at the gate
+via [ip:fe80::2aa:ff:fe9a] on the link
+it came from [ip:2001:db8::1:2] twice
+card [card:4012.8888.8888.1881] is new
+with [card:5105.1051.0510.5100] in may
+chapter 4.2 and figure 12.3.1 of the book
+on 05-10-2020 and on 2021/03/17 it rained
+from 10:15:30 to 11:45:00 the line was down
+at noon a dot on the map was all we saw at first
+look at example three and at the dot in line two
+area 030 and room 555 of house 12
+the ratio is 21/40 or 210/4000 of all
+in 1914-1918 and 1939-1945 there was war
+part no. 212.45.67 and 88-12-3 are sold out
+mac 00:1b:44:11:3a:b7 of the card in slot 2
 fax [phone:212.555.0133] is out of use
 the number [phone:+44 20 5550 1234] was busy all day
 mobile [phone:(907) 555-0110], ring twice
