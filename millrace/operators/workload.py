@@ -142,13 +142,21 @@ def digest_stats(log: DataFrame) -> DataFrame:
     )
 
 
-def quota_report(log: DataFrame, databases: DataFrame) -> DataFrame:
-    """Bytes and tables in use per database against its quotas; none means unlimited."""
-    # The log is read once: its different lists of tables are few.
-    lists = cut_lineage(log.groupBy("db", "queried_relations").agg(F.sum("scan_bytes").alias("bytes")))
-    tables = F.explode(F.split("queried_relations", ","))
-    used = lists.groupBy("db").agg(F.sum("bytes").alias("used_bytes"))
-    held = lists.select("db", tables.alias("tbl")).groupBy("db").agg(F.count_distinct("tbl").alias("used_replicas"))
+def table_replicas() -> Column:
+    """Tablet replicas of a parsed table (`ddl.parse_tables`): its buckets times its replication number.
+
+    A table without BUCKETS counts as one bucket, one without the property has three copies,
+    the warehouse's default; each partition has as many again, and a definition tells of one.
+    """
+    buckets = F.regexp_extract("distributed_by", r"(?i)\bBUCKETS\s+(\d+)\b", 1).try_cast("bigint")
+    copies = F.col("properties")["replication_num"].try_cast("bigint")
+    return F.coalesce(buckets, F.lit(1)) * F.coalesce(copies, F.lit(3))
+
+
+def quota_report(log: DataFrame, tables: DataFrame, databases: DataFrame) -> DataFrame:
+    """Bytes scanned and replicas held (``tables``: db, replicas) per database against its quotas; none means unlimited."""
+    used = log.groupBy("db").agg(F.sum("scan_bytes").alias("used_bytes"))
+    held = tables.groupBy("db").agg(F.sum("replicas").alias("used_replicas"))
     quotas = databases.select(
         "db",
         quota_bytes(F.col("data_quota")).alias("quota_bytes"),

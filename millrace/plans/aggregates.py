@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import ddl
 from ..functions.text import digest
 from ..operators import ordered, quality, search, workload
 from .joins import grouped_log
@@ -105,10 +106,13 @@ SELECT d.db, coalesce(u.used_bytes, 0) AS used_bytes, coalesce(r.n, 0) AS used_r
   coalesce(u.used_bytes > CASE d.db WHEN 'analytics' THEN 104857600 WHEN 'app_db' THEN 10737418240 END, FALSE) AS over_data,
   coalesce(r.n > nullif(d.replica_quota, 0), FALSE) AS over_replicas
 FROM databases d LEFT JOIN (SELECT db, CAST(sum(scan_bytes) AS BIGINT) AS used_bytes FROM audit GROUP BY 1) AS u ON u.db = d.db
-LEFT JOIN (SELECT db, count(DISTINCT tbl) AS n FROM (SELECT db, unnest(string_split(queried_relations, ',')) AS tbl FROM audit) AS x GROUP BY 1) AS r ON r.db = d.db
+LEFT JOIN (SELECT CASE p_partkey % 3 WHEN 0 THEN 'analytics' WHEN 1 THEN 'app_db' ELSE 'metrics' END AS db, CAST(sum(p_size * (1 + p_partkey % 3)) AS BIGINT) AS n
+  FROM part GROUP BY 1) AS r ON r.db = d.db
 """)
 def quota_report(t):
-    return workload.quota_report(t["audit"], t["databases"])
+    parsed = ddl.parse_tables(t["ddl_corpus"], "table_id", "ddl")
+    db = F.element_at(F.array(F.lit("analytics"), F.lit("app_db"), F.lit("metrics")), (F.col("table_id") % 3 + 1).cast("int"))
+    return workload.quota_report(t["audit"], parsed.select(db.alias("db"), workload.table_replicas().alias("replicas")), t["databases"])
 
 
 @query("drop_guard", """

@@ -8,7 +8,7 @@ from pyspark.sql.types import StringType
 
 from millrace.functions import ddl, quoting, text
 from millrace.functions.casts import cast_or_null
-from millrace.operators import quality, schema
+from millrace.operators import quality, schema, workload
 from millrace.session import workdir
 
 
@@ -237,3 +237,14 @@ def test_column_sketch_reads_the_schema_in_one_pass(spark):
     assert quality.column_sketch(df.limit(0)).filter("n_rows = 0 AND n_distinct = 0 AND min_value IS NULL").count() == 4
     executed = sketch._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" in executed and "hashpartitioning" not in executed
+
+
+def test_replicas_of_parsed_tables(spark):
+    tail = ["DISTRIBUTED BY HASH(`a`) BUCKETS 12\nPROPERTIES (\"replication_num\" = \"2\")", "DISTRIBUTED BY RANDOM", "DISTRIBUTED BY HASH(`a`) BUCKETS 5\nPROPERTIES (\"replication_num\" = \"x\", \"k\" = \"BUCKETS 9\")", ""]
+    corpus = spark.createDataFrame([(i, f"CREATE TABLE `t{i}` (\n  `a` int NULL\n) ENGINE=OLAP\n{t}") for i, t in enumerate(tail)], "table_id int, ddl string")
+    tables = ddl.parse_tables(corpus, "table_id", "ddl").select("table_id", workload.table_replicas().alias("replicas"))
+    assert {r.table_id: r.replicas for r in tables.collect()} == {0: 24, 1: 3, 2: 15, 3: 3}
+    log = spark.createDataFrame([("a", 60), ("a", 60), ("b", 1)], "db string, scan_bytes long")
+    databases = spark.createDataFrame([("a", "100", 40), ("b", "", 0), ("c", "1K", 1)], "db string, data_quota string, replica_quota int")
+    report = workload.quota_report(log, tables.select(F.lit("a").alias("db"), "replicas"), databases)
+    assert {r.db: (r.used_bytes, r.used_replicas, r.over_data, r.over_replicas) for r in report.collect()} == {"a": (120, 45, True, True), "b": (1, 0, False, False), "c": (0, 0, False, False)}
