@@ -1,12 +1,14 @@
 """Text and vector search against brute force on small inputs."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from conftest import SF_DIR
 from pyspark.sql import functions as F
 
+from millrace.functions import grams
 from millrace.functions.grams import text_grams, with_grams
 from millrace.operators import search, vectors
 from millrace.plans import QUERIES
@@ -19,6 +21,35 @@ def test_grams_of_odd_texts(spark):
     assert got == {i: text_grams(t, 4) if t else [] for i, t in enumerate(texts)}
 
 
+def _rows_made(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line for line in plan.splitlines() if "Generate" in line or "Join" in line]
+
+
+@pytest.mark.parametrize("n", [1, 4, 9])
+def test_index_counts_documents_of_each_gram(spark, n):
+    rng = random.Random(n)
+    texts = [None, "", "ab", "ABab abab", "Aé漢😀b", "a\nb\0c", "İi̇"] + ["".join(chr(rng.randrange(32, 0x2000)) for _ in range(rng.randrange(60))) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts * 2)), "id int, text string").repartition(3)
+    lowered = [r.text for r in docs.select(F.lower("text").alias("text")).collect() if r.text]
+    want = Counter(g for t in lowered for g in text_grams(t, n))
+    index = search.ngram_index(docs, "id", "text", n)
+    assert {r.gram: r.n_docs for r in index.collect()} == want
+    assert not _rows_made(index)  # no row for each gram of a document
+
+
+@pytest.mark.parametrize("n", [1, 4, 9])
+def test_codes_tell_all_grams_apart(n):
+    """Also of so many characters that a gram's numbers do not fit one integer."""
+    rng = random.Random(n)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(3000)), "", "ab", "\0\0\0\0\0\0\0\0\0\0", "\U0010ffff" * 12]
+    assert dict(grams.gram_counts(texts, n)) == Counter(g for t in texts if t for g in text_grams(t, n))
+    numbers = grams.GramNumbers(grams.code_points(texts[:1]), n)
+    known, part = set(numbers.given().tolist()), texts[0][100:120]
+    assert set(numbers.of(grams.code_points([part])).tolist()) <= known
+    assert not known & set(numbers.of(grams.code_points([part[::-1].replace(part[3], "x")])).tolist()) or n == 1
+
+
 @pytest.mark.parametrize("threshold", [0.1, 0.5, 0.8, 1.0])
 def test_similarity_finds_every_match(spark, threshold):
     rng = random.Random(3)
