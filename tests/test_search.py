@@ -115,6 +115,29 @@ def test_pairs_scored_grow_with_the_documents(spark, monkeypatch):
         counts.clear()
 
 
+@pytest.mark.parametrize("block", [4096, 7])
+def test_needles_meet_documents_inside_their_tasks(spark, monkeypatch, block):
+    monkeypatch.setattr(search, "NEEDLE_BLOCK", block)
+    needles, docs = _needles_and_docs(60, 30)
+    needles += [(2000, "ab"), (2001, "AB"), (2002, ""), (2003, None), (None, "ab")]
+    asked, texts = spark.createDataFrame(needles, "item_id int, text string"), spark.createDataFrame(docs, "doc_id int, text string")
+    best = search.best_needles(texts, "doc_id", "text", asked, "item_id", "text", 4, 0.6)
+    pairs = search.ngram_similarity(texts, "doc_id", "text", asked, "item_id", "text", 4, 0.6)
+    assert not _rows_made(best) and not _rows_made(pairs)  # no row for a gram, no join of pairs
+    want = {}
+    for d, text in docs:
+        held = set(text_grams(text, 4)) if text else set()
+        for i, needle in needles:
+            of = set(text_grams(needle, 4)) if needle and i is not None else set()
+            if of and len(held & of) / len(of) >= 0.6:
+                want[d, i] = len(held & of) / len(of)
+    assert {(r.doc_id, r.item_id): r.score for r in pairs.collect()} == want
+    first = {d: min((-s, i) for (e, i), s in want.items() if e == d) for d, _ in want}
+    assert {r.doc_id: (-r.score, r.item_id) for r in best.collect()} == first
+    assert first[-3] == (-1.0, 2000)
+    assert search.best_needles(texts, "doc_id", "text", asked.limit(0), "item_id", "text", 4, 0.6).count() == 0
+
+
 def test_lookups_count_rows_under_each_condition(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("a"), F.when(F.col("id") % 7 > 0, F.col("id") >= 700).alias("b"))
     lookups = {"x": ("AND", (F.col("a") == 0) & F.col("b")), "y": ("OR", (F.col("a") == 1) | F.col("b")), "none": ("AND", F.col("a") == 9)}
