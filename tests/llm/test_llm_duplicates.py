@@ -164,6 +164,24 @@ def test_form_letters_with_the_same_filling_meet(spark):
     assert {k for k in range(0, 300, 10)} | {1000 + k for k in range(0, 300, 10)} <= whole
 
 
+def test_near_copies_that_are_no_stars_meet(spark):
+    """Letters of one form are too unlike each other, but two with the same fillings differ in one word in the middle and share no 50 words."""
+    rng = random.Random(31)
+    form = prose(rng, 98).split()
+
+    def letter(k, filling, edit):
+        notice = list(form)
+        for place in range(9, 98, 20):
+            notice[place] = f"{filling}at{place}"
+        notice[49] = edit or notice[49]
+        return " ".join([f"a{k}x{i}" for i in range(15)] + notice + [f"z{k}x{i}" for i in range(15)])
+
+    rows = [(k, letter(k, f"name{k}", None)) for k in range(100)] + [(1000 + k, letter(1000 + k, f"name{k}", f"edit{k}")) for k in range(0, 100, 8)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    pairs = {(min(r.doc_id, r.class_id), max(r.doc_id, r.class_id)) for r in found if r.doc_id != r.class_id and r.n_words >= 90}
+    assert pairs == {(k, 1000 + k) for k in range(0, 100, 8)}
+
+
 def test_a_later_place_of_a_passage_is_linked_too(spark):
     rng = random.Random(29)
     texts = []
