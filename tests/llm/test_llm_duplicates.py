@@ -182,6 +182,23 @@ def test_near_copies_that_are_no_stars_meet(spark):
     assert pairs == {(k, 1000 + k) for k in range(0, 100, 8)}
 
 
+def test_a_line_shorter_than_a_passage_pairs_few_texts(spark, monkeypatch):
+    """300 texts share a line of 20 words and no passage: 44,850 pairs, of which hardly any may be compared."""
+    rng = random.Random(37)
+    line = prose(rng, 20)
+    rows = [(k, " ".join([*(f"a{k}x{i}" for i in range(60)), line, *(f"z{k}x{i}" for i in range(60))])) for k in range(300)]
+    counts, made = [], passages.rest_pairs
+
+    def counted(*args):
+        pairs = made(*args)
+        counts.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(passages, "rest_pairs", counted)
+    assert passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    assert sum(counts) < 4_485
+
+
 def test_a_later_place_of_a_passage_is_linked_too(spark):
     rng = random.Random(29)
     texts = []
