@@ -182,6 +182,37 @@ def test_near_copies_that_are_no_stars_meet(spark):
     assert pairs == {(k, 1000 + k) for k in range(0, 100, 8)}
 
 
+def test_near_copies_of_a_key_are_joined_by_as_few_pairs():
+    """60 near copies and 60 stretches that are like none: the copies become one class by 59 of their 1,770 pairs."""
+    rng = np.random.default_rng(41)
+    base = rng.integers(0, 2**32, 80, np.uint32)
+    stretches = []
+    for k in range(60):
+        stretches += [base.copy(), rng.integers(0, 2**32, 80, np.uint32)]
+        stretches[-2][k % 5 * 18] = k
+    h = np.arange(120)
+    pairs = list(passages._tree(h, np.arange(120), stretches))
+    assert len(pairs) == 59 and {k for pair in pairs for k in pair} == set(range(0, 120, 2))
+    assert all(next(passages.verify(stretches[i], stretches[j]), None) for i, j in pairs)
+
+
+def test_windows_of_many_texts_at_once_are_those_of_each():
+    rng = random.Random(43)
+    texts = [prose(rng, n).encode() for n in (50, 49, 300, 0, 71)] + [b"one two " * 60, prose(rng, 90).encode()]
+    found = passages._shingled(texts)
+    assert [len(x) for x in found] == [46, 0, 296, 0, 67, 116, 86]
+    assert all((x == passages.shingles(t.decode())).all() for x, t in zip(found, texts, strict=True))
+    found = [x for x in found if len(x)]
+    key, text, a, c, b = passages.starts(found)
+    for t, values in enumerate(found):
+        want = set()
+        for f in range(passages.HASHES):
+            for left, middle, right in passages.compact_windows(passages._mixed(values ^ passages._SEEDS[f])):
+                want.add((f, max(left, middle - passages.T + 1), middle, min(middle, right - passages.T + 1)))
+        own = text == t
+        assert set(zip((key[own] & 7).tolist(), a[own].tolist(), c[own].tolist(), b[own].tolist(), strict=True)) == want
+
+
 def test_a_line_shorter_than_a_passage_pairs_few_texts(spark, monkeypatch):
     """300 texts share a line of 20 words and no passage: 44,850 pairs, of which hardly any may be compared."""
     rng = random.Random(37)
