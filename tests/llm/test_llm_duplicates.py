@@ -196,6 +196,70 @@ def test_near_copies_of_a_key_are_joined_by_as_few_pairs():
     assert all(next(passages.verify(stretches[i], stretches[j]), None) for i, j in pairs)
 
 
+def test_windows_of_a_key_are_joined_as_all_pairs_would_join_them():
+    """Copies with a few edited words, some far from the key's places: no pair of one class less and none more than by comparing all."""
+    rng = np.random.default_rng(47)
+    bases = rng.integers(1, 2**32, (3, 88), np.uint32)
+    stretches, second = [], 30
+    for k in range(120):
+        own = bases[k % 3].copy()
+        for at in rng.choice(np.r_[0:23, 29:53, 59:83], rng.integers(0, 4), replace=False):
+            own[at : at + 5] = rng.integers(1, 2**32, 5)
+        own[[28, 28 + second]] = bases[0, [28, 28 + second]]
+        stretches.append(own)
+    h, pos = np.arange(120), np.full(120, 20 << 18 | 10 << 12 | 12 << 6 | 12 + second)
+
+    def root(of, k):
+        while of[k] != k:
+            k = of[k]
+        return k
+
+    want = np.arange(120)
+    for i in range(120):
+        for j in range(i):
+            if any(s <= 28 and 28 + second < e and p <= 28 and 28 + second < q for s, e, p, q, _ in passages.verify(stretches[i], stretches[j])):
+                want[root(want, i)] = root(want, j)
+    column = np.empty(120, object)
+    column[:] = [x.tobytes() for x in stretches]
+    got, (one, two) = np.arange(120), passages.compared(np.zeros(120, int), h, pos, column)
+    for i, j in zip(one.tolist(), two.tolist(), strict=True):
+        assert root(got, i) != root(got, j)
+        got[root(got, i)] = root(got, j)
+    classes = lambda of: sorted(sorted(k for k in range(120) if root(of, k) == r) for r in {root(of, k) for k in range(120)})
+    assert classes(got) == classes(want) and len(one) < 119
+
+
+def test_a_line_that_texts_repeat_gives_few_links(spark, monkeypatch):
+    """60 texts repeat one line 20 times. Held against each place in four texts, their windows gave 80 links each."""
+    rng = random.Random(53)
+    line = prose(rng, 27)
+    rows = [(k, " ".join([*(f"a{k}x{i}" for i in range(20)), *[line] * 20, *(f"z{k}x{i}" for i in range(20))])) for k in range(60)]
+    counts, made = [], passages.candidates
+
+    def counted(linked):
+        counts.append(linked.count())
+        return made(linked)
+
+    monkeypatch.setattr(passages, "candidates", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.repeated_passages(df).collect()
+    windows = passages.double_windows(passages.windows(df.select(F.xxhash64("text").alias("h"), "text")))
+    assert sum(counts) < 3 * windows.count()
+    assert {r.doc_id for r in found if r.n_words >= 500} | {r.class_id for r in found if r.class_words >= 500} == set(range(60))
+
+
+def test_repeating_texts_are_like_only_as_a_whole(spark):
+    """Lines of two forms that differ in one word are too unlike, the texts with what stands around them are not."""
+    rng = random.Random(59)
+    before, after, line = (prose(rng, n).split() for n in (14, 14, 28))
+    other = [*line[:10], "other", *line[11:]]
+    rows = [(k, " ".join([*before, *(form * 12), *after])) for k, form in enumerate((line, other))]
+    x, y = (passages.shingles(t) for _, t in rows)
+    assert [r[:4] for r in passages.verify(x, y)] == [(0, len(x), 0, len(y))] and not list(passages.verify(x[100:200], y[100:200]))
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id) for r in found if r.doc_id != r.class_id} in ({(0, 1)}, {(1, 0)})
+
+
 def test_windows_of_many_texts_at_once_are_those_of_each():
     rng = random.Random(43)
     texts = [prose(rng, n).encode() for n in (50, 49, 300, 0, 71)] + [b"one two " * 60, prose(rng, 90).encode()]
